@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 WINDOWS = ((12, 2), (15, 3), (20, 4))
 #: Words of the shortest piece of any window: 15 words in 4 pieces.
 PIECE = 3
+#: Runs of PIECE words that any window keeps: its words but for the changes, less two for each of its pieces.
+HITS = min(w - k - (PIECE - 1) * (k + 1) for w, k in WINDOWS)
 #: Words beyond a window that are looked at to tell a quotation from a sentence built alike.
 BEYOND = 8
 #: Test items whose index is in memory at once; more are taken in blocks, each with its own pass over the corpus.
@@ -89,6 +91,11 @@ class Index:
         keys, item, pos = (np.concatenate(x) if x else none for x in (keys, item, pos))
         order = np.argsort(keys, kind="stable")
         self.keys_, self.item, self.pos = keys[order], item[order], pos[order]
+        _, which, many = np.unique(self.keys_, return_inverse=True, return_counts=True)
+        #: Runs that no other place of the items has, by item and position.
+        self.own = [np.zeros(len(t), bool) for t in self.texts]
+        for i, at, n in zip(self.item, self.pos, many[which] if len(which) else []):
+            self.own[i][at] = n == 1
 
     def keys(self, t: np.ndarray) -> np.ndarray:
         """A number for every run of PIECE words."""
@@ -116,14 +123,17 @@ class Index:
         items, pos, at = items[order], pos[order], at[order]
         cuts = np.flatnonzero(np.diff(items)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(items)]):
-            if b > a and (found := self._verify(self.texts[items[a]], t, pos[a:b], at[a:b])):
+            if b - a >= HITS and (found := self._verify(self.texts[items[a]], self.own[items[a]], t, pos[a:b], at[a:b])):
                 out.append((int(items[a]), *found))
         return out
 
-    def _verify(self, p: np.ndarray, t: np.ndarray, pos: np.ndarray, at: np.ndarray) -> tuple[int, int] | None:
+    def _verify(self, p: np.ndarray, own: np.ndarray, t: np.ndarray, pos: np.ndarray, at: np.ndarray) -> tuple[int, int] | None:
         done: set[tuple[int, int]] = set()
         slack = WINDOWS[-1][1]
-        for diagonal in np.unique(at - pos):
+        diagonals = at - pos
+        for diagonal in np.unique(diagonals):
+            if np.count_nonzero(np.abs(diagonals - diagonal) <= slack) < HITS:
+                continue
             # words of the item that stand in the document near this diagonal
             near = np.zeros(len(p), bool)
             for d in range(diagonal - slack, diagonal + slack + 1):
@@ -147,10 +157,14 @@ class Index:
                     text = t[lo : s + diagonal + w + slack + k].tolist()
                     r = myers(p[s : s + w].tolist(), text, k)
                     if r and (whole := self._whole(p, t, int(s), w, lo + r[1], k)):
-                        return whole
+                        a, n, changes = whole
+                        # so short and yet changed, it must have a run of its own, not only phrases that several items share
+                        kept = pos[np.abs(diagonals - diagonal) <= k]
+                        if n >= WINDOWS[1][0] or not changes or own[kept[(kept >= a) & (kept <= a + n - PIECE)]].any():
+                            return n, changes
         return None
 
-    def _whole(self, p: np.ndarray, t: np.ndarray, s: int, w: int, end: int, most: int) -> tuple[int, int] | None:
+    def _whole(self, p: np.ndarray, t: np.ndarray, s: int, w: int, end: int, most: int) -> tuple[int, int, int] | None:
         """The quotation in and around a verified window that ends at ``end`` of the text, from its first equal word to its last.
 
         None if that is too short or changed too much, or if the text beyond it goes on like the item.
@@ -169,7 +183,7 @@ class Index:
         for (a, x), (b, y) in spans:
             n = b - a + 1
             if n >= WINDOWS[0][0] and (r := myers(p[a : b + 1].tolist(), t[x : y + 1].tolist(), n // 5)):
-                return n, r[0]
+                return a, n, r[0]
         return None
 
 
