@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.encoding import decode, encode
 from quillmesh.llm.leakage import leaks
+from quillmesh.llm.quality import text_statistics
 from quillmesh.llm.splitting import split_chunks
 from quillmesh.plans.registry import Registry
 from quillmesh.session import table
@@ -25,7 +26,7 @@ WHERE len(regexp_extract_all(c.r.text, '[^ \t\r\n]+')) > coalesce(p.child_max_to
 """)
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks whose current text was split."""
-    return _pieces(spark, sf).where("pieces > 1").select("chunk_id").distinct()
+    return _pieces(spark, sf).select("chunk_id").distinct()
 
 
 @R.query("p1_pieces")
@@ -62,3 +63,15 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def p8_quotations(spark: SparkSession, sf: str) -> DataFrame:
     """As p8_found, with the field that leaked and the extent of the quotation."""
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+@R.query("p9_found")
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents most of whose characters are of a list, of a table or junk."""
+    return text_statistics(table(spark, sf, "documents").select("doc_id", "text")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind").distinct()
+
+
+@R.query("p9_statistics")
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of every document's text."""
+    return text_statistics(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
