@@ -8,6 +8,8 @@ the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,25 +61,29 @@ def split_texts(df: DataFrame, text: str, limit: str, overlap: str) -> DataFrame
     own = [c for c in df.columns if c not in added]
     t, n = F.col(text), F.col(limit)
     lap = F.least(F.greatest(F.coalesce(F.col(overlap), F.lit(0)), F.lit(0)), n - 1)
-    over = F.coalesce((n >= 1) & (F.length(t) >= 2 * n) & (F.col("__tokens") > n), F.lit(False))
+    over = F.coalesce((n >= 1) & (F.length(t) >= 2 * n) & (count_tokens(t) > n), F.lit(False))
     pattern = F.concat(F.lit(r"\A"), _part(n), F.lit(r"|\G(?!\A)"), _part(n - lap))
-    d = df.select("*", count_tokens(t).alias("__tokens"))
-    d = d.select("*", F.when(over, F.regexp_extract_all(t, F.lit(f"[^{WS}]+[{WS}]*"), F.lit(0))).alias("__all"))
-    letters = F.array_join(F.transform("__all", lambda x, i: _boundary(x, F.try_element_at("__all", i + 2))), "")
-    d = d.select("*", F.transform(F.regexp_extract_all(letters, pattern, F.lit(0)), F.length).alias("__sizes"))
-    ends = F.aggregate("__sizes", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
-    d = d.select("*", ends.alias("__ends"))
-
-    def piece(size: Column, i: Column) -> Column:
-        start = F.element_at("__ends", i + 1) - size
-        back = F.least(F.when(i == 0, 0).otherwise(lap), start)
-        words = F.array_join(F.slice("__all", start - back + 1, size + back), "")
-        return F.struct(i.alias("piece_index"), F.regexp_replace(words, f"[{WS}]+$", "").alias("piece_text"), (size + back).alias("piece_tokens"))
-
-    whole = F.array(F.struct(F.lit(0).alias("piece_index"), t.alias("piece_text"), F.coalesce("__tokens", F.lit(0)).alias("piece_tokens")))
-    out = F.when(F.col("__all").isNotNull(), F.transform("__sizes", piece)).otherwise(whole)
-    return (d.select(*own, F.explode(out).alias("__p"), F.when(F.col("__all").isNotNull(), F.size("__sizes")).otherwise(1).alias("__n"))
-            .select(*own, F.col("__p.piece_index").alias("piece_index"), F.col("__n").alias("pieces"), F.col("__p.piece_text").alias("piece_text"), F.col("__p.piece_tokens").alias("piece_tokens")))
+
+    def cut(tokens: Column) -> Column:
+        letters = F.array_join(F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), _boundary), "")
+        return _let(F.transform(F.regexp_extract_all(letters, pattern, F.lit(0)), F.length), lambda sizes: _let(
+            F.aggregate(sizes, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0))))),
+            lambda ends: F.zip_with(sizes, ends, lambda size, end: piece(tokens, size, end))))
+
+    def piece(tokens: Column, size: Column, end: Column) -> Column:
+        back = F.least(lap, end - size)
+        words = F.array_join(F.slice(tokens, end - size - back + 1, size + back), "")
+        return F.struct(F.regexp_replace(words, f"[{WS}]+$", "").alias("piece_text"), (size + back).alias("piece_tokens"))
+
+    whole = F.array(F.struct(t.alias("piece_text"), F.coalesce(count_tokens(t), F.lit(0)).alias("piece_tokens")))
+    pieces = F.when(over, _let(F.regexp_extract_all(t, F.lit(f"[^{WS}]+[{WS}]*"), F.lit(0)), cut)).otherwise(whole)
+    return (df.select(*own, pieces.alias("__pieces")).select(*own, F.size("__pieces").alias("pieces"), F.posexplode("__pieces").alias("piece_index", "__p"))
+            .select(*own, "piece_index", "pieces", F.col("__p.piece_text").alias("piece_text"), F.col("__p.piece_tokens").alias("piece_tokens")))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once per row, however often it is used and wherever the optimizer moves it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def split_characters(text: Column, limit: int, overlap: int) -> Column:
