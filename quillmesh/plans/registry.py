@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,7 +21,13 @@ class Registry:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is defined twice")
-            self.queries[name] = f
+
+            @functools.wraps(f)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return f(spark, sf_dir)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return f

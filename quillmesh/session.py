@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +87,24 @@ class Scratch:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a written table for broadcast if its counted rows are within the bound; else leaves it to a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers of a session this package, once, wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quillmesh-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/quillmesh.zip", "w") as z:
+        for at, dirs, files in os.walk(root):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.join("quillmesh", os.path.relpath(os.path.join(at, f), root)))
+    sc.addPyFile(f"{folder}/quillmesh.zip")
+    _shipped.add(sc.applicationId)
