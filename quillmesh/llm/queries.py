@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.encoding import decode, encode
 from quillmesh.llm.leakage import leaks
+from quillmesh.llm.names import link_names, name_pairs
 from quillmesh.llm.quality import text_statistics
 from quillmesh.llm.splitting import split_chunks
 from quillmesh.plans.registry import Registry
@@ -75,3 +76,15 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """The statistics of every document's text."""
     return text_statistics(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+
+
+@R.query("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different author values that name the same person or organisation."""
+    return name_pairs(link_names(table(spark, sf, "documents_author")))
+
+
+@R.query("p6_clusters")
+def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every different author value with its cluster and number of rows."""
+    return link_names(table(spark, sf, "documents_author"))
