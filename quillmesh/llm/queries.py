@@ -9,6 +9,7 @@ from quillmesh.llm.encoding import decode, encode
 from quillmesh.llm.leakage import leaks
 from quillmesh.llm.names import link_names, name_pairs
 from quillmesh.llm.quality import text_statistics
+from quillmesh.llm.scans import Repair, scanned_records
 from quillmesh.llm.splitting import split_chunks
 from quillmesh.plans.registry import Registry
 from quillmesh.session import table
@@ -88,3 +89,15 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Every different author value with its cluster and number of rows."""
     return link_names(table(spark, sf, "documents_author"))
+
+
+@R.query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of scanned text that are page furniture, or hold a divided or a misread word."""
+    return Repair(scanned_records(table(spark, sf, "pdf_evidence"), table(spark, sf, "table_data"))).found()
+
+
+@R.query("p3_repaired")
+def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts and tables repaired."""
+    return Repair(scanned_records(table(spark, sf, "pdf_evidence"), table(spark, sf, "table_data"))).repaired()
