@@ -228,7 +228,7 @@ def statistics(text: str | None) -> dict | None:
     lang, d_words, d_chars = "", 0.0, 0.0
     if running:
         joined = "\n".join(running)
-        own = _plain_words(joined)
+        own = words if len(running) == sum(1 for x in lines if x.strip()) else _plain_words(joined)
         lang, d_words, d_chars = _prose_divergence(own, joined)
         judged = len(own) >= JUDGED_WORDS
         longest = max((len(w) for w in own), default=0)
@@ -239,7 +239,7 @@ def statistics(text: str | None) -> dict | None:
     if size[kind] <= MOST * total:
         kind = "prose" if size["prose"] else kind
     letters = sum(map(len, words))
-    symbols = sum(1 for c in text if not (c.isalnum() or c.isspace() or "ऀ" <= c <= "ॿ"))
+    symbols = sum(n for c, n in Counter(text).items() if not (c.isalnum() or c.isspace() or "ऀ" <= c <= "ॿ"))
     return {
         "words": len(words), "mean_word_length": letters / max(1, len(words)), "symbol_ratio": symbols / len(text),
         "punctuated_lines": sum(1 for x in full if _SENTENCE_END.search(x)) / max(1, len(full)), "common_words": _function_share(words),
