@@ -40,6 +40,10 @@ JUDGED_WORDS = 12
 #: A kind has a document if more than this share of its characters is of it.
 MOST = 0.5
 
+_TRIM = re.escape(".,;:!?।()«»\"“”„'’‘¿¡[]{}*_…|")
+#: Words with single marks inside, such as c'est or 1.5; marks at their ends don't belong to them.
+_WORD = re.compile(rf"[^\s{_TRIM}]+(?:[{_TRIM}][^\s{_TRIM}]+)*").findall
+
 KINDS = ("prose", "list", "table", "junk")
 _PROFILES = {lang: {w: int(n) / 1000 for w, n in zip(s.split()[::2], s.split()[1::2])} for lang, s in FUNCTION_WORDS.items()}
 _ALL_FUNCTION = frozenset(w for p in _PROFILES.values() for w in p)
@@ -54,8 +58,8 @@ _CELL = re.compile(r"\s*(?:[-–—*.]|n/?a\.?|N/?A\.?|null|[<>~≈±+-]?\s?[\d]
 _SPLITS = (re.compile(r"\|"), re.compile(r"\t"), re.compile(r";"), re.compile(r","), re.compile(r" {2,}|\u3000+"))
 _SEPARATOR = re.compile(r"\s*([-=_*~#.+–—])(?:\s?\1){2,}\s*$")
 _INNER_END = re.compile(r"\w[.!?।] +[\w¿¡\"«„]")
+_SEPARATORS = ("|", "\t", ";", ",", "  ")
 _RULE = re.compile(r"^[\s|:+=-]*$")
-_TRIM = ".,;:!?।()«»\"“”„'’‘¿¡[]{}*_…|"
 
 
 def jensen_shannon(p: list[float], q: list[float]) -> float:
@@ -112,7 +116,10 @@ def _is_table(lines: list[str]) -> bool:
     n = len(lines)
     if n < 2:
         return False
+    block = "\n".join(lines)
     for k, split in enumerate(_SPLITS):
+        if block.count(_SEPARATORS[k]) < (1.4 if k in (2, 3) else 0.7) * 0.7 * n:  # too few for most rows to be cut
+            continue
         rows = [x for x in lines if not _RULE.match(x)] if k in (0, 4) else lines
         cells = [[c for c in split.split(x.strip().strip("|") if k == 0 else x.rstrip("\n"))] for x in rows]
         if len(cells) < 2:
@@ -148,17 +155,20 @@ def _wordy(cells: list[str]) -> bool:
 
 
 def _function_share(words: list[str]) -> float:
-    return sum(1 for w in words if w in _ALL_FUNCTION) / max(1, len(words))
+    return sum(map(_ALL_FUNCTION.__contains__, words)) / max(1, len(words))
 
 
 def _plain_words(text: str) -> list[str]:
-    return [w for w in (x.strip(_TRIM) for x in text.lower().split()) if w]
+    return _WORD(text.lower())
 
 
 def _is_list(lines: list[str]) -> bool:
     n = len(lines)
     if n < 2 or len({x.strip() for x in lines}) < max(2, 0.35 * n):
         return False
+    if _function_share(_plain_words("\n".join(lines))) >= 0.25:  # running sentences
+        return False
+
     def share(pattern: re.Pattern, search: bool = False) -> float:
         return sum(1 for x in lines if (pattern.search(x) if search else pattern.match(x))) / n
 
@@ -231,7 +241,7 @@ def statistics(text: str | None) -> dict | None:
         own = words if len(running) == sum(1 for x in lines if x.strip()) else _plain_words(joined)
         lang, d_words, d_chars = _prose_divergence(own, joined)
         judged = len(own) >= JUDGED_WORDS
-        longest = max((len(w) for w in own), default=0)
+        longest = max(map(len, own), default=0)
         odd = d_chars > (SURE_CHARACTERS if judged and d_words <= SURE_WORDS else CHARACTER_DIVERGENCE) and len(joined) >= 40 or judged and (d_words > WORD_DIVERGENCE or d_words > SURE_WORDS and d_words + 2 * d_chars > JOINT_DIVERGENCE) or longest > 60 and longest > 0.3 * len(joined)
         size["junk" if odd else "prose"] += length(running)
     total = max(1, sum(size.values()))
