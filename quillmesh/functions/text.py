@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +25,8 @@ def plain_name(c: Column) -> Column:
     """A name for comparison: trimmed, single spaces, lower case. A blank name becomes null."""
     n = F.lower(squeeze(c))
     return F.when(n != "", n)
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once per row, however often it is used and wherever the optimizer moves it."""
+    return F.element_at(F.transform(F.array(value), then), 1)

@@ -36,7 +36,7 @@ def overlapping_pairs(claims: DataFrame, keys: list[str]) -> DataFrame:
     day = lambda x: F.datediff(x, F.lit("1970-01-01").cast("date"))
     first, last = F.floor(day(F.col("valid_from")) / BUCKET_DAYS), F.floor((day(F.col("valid_until")) - 1) / BUCKET_DAYS)
     c = c.withColumn("__b0", first).withColumn("__b1", F.greatest(last, first))
-    long_ = F.col("__b0").isNull() | F.col("__b1").isNull() | (F.col("__b1") - F.col("__b0") >= MOST_BUCKETS)
+    long_ = F.col("valid_from").isNull() | F.col("valid_until").isNull() | (F.col("__b1") - F.col("__b0") >= MOST_BUCKETS)
     row = F.struct(*[x for x in c.columns if not x.startswith("__")])
     k = [F.col(x).alias(f"__k{i}") for i, x in enumerate(keys)]
     on = [f"__k{i}" for i in range(len(keys))]
