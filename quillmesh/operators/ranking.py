@@ -192,6 +192,28 @@ def next_fit(df: DataFrame, key: str, order: Sequence[str], size: str, budget: i
     return df.select(*names).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def nearest_rank(df: DataFrame, key: str, value: str, shares: Sequence[float], buckets: int = 2_000) -> DataFrame:
+    """Exact percentiles per key: ``key, n`` and ``p0, p1, ...``, the values at rank round((n - 1) * share), half to even.
+
+    Values are first counted in buckets between a key's least and greatest; only the bucket that holds a rank is
+    sorted, with equal values counted once, so that a key with very many rows is never sorted as a whole. Nulls are left out.
+    """
+    d = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    ends = d.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    spread = F.col("hi") - F.col("lo")
+    binned = d.join(ends, "k").withColumn("b", F.when(spread > 0, F.least(F.floor((F.col("v") - F.col("lo")) / spread * buckets), F.lit(buckets - 1))).otherwise(0))
+    counts = binned.groupBy("k", "b").agg(F.count("*").alias("c"))
+    # at most `buckets` rows a key
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("b"))).join(ends.select("k", "n"), "k")
+    wanted = [F.bround((F.col("n") - 1) * q).cast("long") for q in shares]
+    holds = upto.select("k", "b", "n", (F.col("upto") - F.col("c")).alias("before"), F.inline(F.array(*(F.struct(F.lit(i).alias("i"), w.alias("rank")) for i, w in enumerate(wanted))))).where(F.col("rank") >= F.col("before"))
+    last = holds.groupBy("k", "i", "n", "rank").agg(F.max(F.struct("before", "b")).alias("m")).select("k", "i", "n", "rank", "m.before", "m.b")
+    inside = binned.select("k", "b", "v").join(last.select("k", "b").distinct(), ["k", "b"], "left_semi").groupBy("k", "b", "v").agg(F.count("*").alias("c"))
+    inside = inside.withColumn("upto", F.sum("c").over(Window.partitionBy("k", "b").orderBy("v")))
+    found = last.join(inside, ["k", "b"]).where(F.col("before") + F.col("upto") > F.col("rank")).groupBy("k", "n", "i").agg(F.min("v").alias("p"))
+    return found.groupBy(F.col("k").alias(key), "n").agg(*(F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"p{i}") for i in range(len(shares))))
+
+
 def measures(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Recall, reciprocal rank and nDCG at k per query; ranked: query_id, id, rank; relevant: query_id, id, grade (above 0).
 

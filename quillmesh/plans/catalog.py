@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.operators import catalog as C
 from quillmesh.operators import changes as K
 from quillmesh.operators.differences import uuid_key
+from quillmesh.operators.ranking import nearest_rank
 from quillmesh.plans.registry import Registry
 from quillmesh.session import table
 
@@ -285,15 +286,11 @@ def reconcile_checks(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("stage_latency", """SELECT event_type AS stage, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean,
  round(list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.5, 0) AS INT) + 1], 6) AS p50, round(list_sort(list(value))[CAST(round_even((count(*) - 1) * 0.95, 0) AS INT) + 1], 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY 1""")
 def stage_latency(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest-rank percentiles. Values are counted before they are ranked, so a stage with many events is no list in one task."""
-    e = table(spark, sf, "events").where("value is not null").groupBy(F.col("event_type").alias("stage"), "value").agg(F.count("*").alias("k"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("stage").orderBy("value")
-    ranked = e.withColumn("upto", F.sum("k").over(w))
-    totals = e.groupBy("stage").agg(F.sum("k").alias("n"), F.round(F.sum(F.col("value") * F.col("k")), 6).alias("total"), F.round(F.sum(F.col("value") * F.col("k")) / F.sum("k"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
-    at = lambda q: F.round(F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * q), F.col("value"))), 6)
-    ranks = ranked.join(totals.select("stage", "n"), "stage").groupBy("stage").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
-    return totals.join(ranks, "stage").select("stage", "n", "total", "mean", "p50", "p95", "most")
+    """Nearest-rank percentiles, found bucket by bucket."""
+    e = table(spark, sf, "events").where("value is not null").withColumnRenamed("event_type", "stage")
+    totals = e.groupBy("stage").agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+    ranks = nearest_rank(e, "stage", "value", [0.5, 0.95])
+    return totals.join(ranks, "stage").select("stage", "n", "total", "mean", F.round("p0", 6).alias("p50"), F.round("p1", 6).alias("p95"), "most")
 
 
 @R.query("event_share", "SELECT event_type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 4) AS share FROM events GROUP BY 1")

@@ -83,7 +83,7 @@ def title_years(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("title is not null").select("document_id", F.when(y != "", y).cast("int").alias("edition"))
 
 
-@R.query("edition_series", r"""SELECT series, CAST(count(DISTINCT edition) AS BIGINT) AS editions, max(edition) AS latest FROM (SELECT regexp_replace(lower(title), '\s*(?:19|20)\d{2}\b', '') AS series, TRY_CAST(nullif(regexp_extract(title, '\b((?:19|20)\d{2})\b', 1), '') AS INTEGER) AS edition
+@R.query("edition_series", r"""SELECT series, CAST(count(DISTINCT edition) AS BIGINT) AS editions, max(edition) AS latest FROM (SELECT regexp_replace(lower(title), '\s*(?:19|20)\d{2}\b', '', 'g') AS series, TRY_CAST(nullif(regexp_extract(title, '\b((?:19|20)\d{2})\b', 1), '') AS INTEGER) AS edition
  FROM documents WHERE title IS NOT NULL) WHERE edition IS NOT NULL GROUP BY 1 HAVING count(DISTINCT edition) > 1""")
 def edition_series(spark: SparkSession, sf: str) -> DataFrame:
     y = F.regexp_extract("title", r"\b((?:19|20)\d{2})\b", 1)
@@ -324,7 +324,7 @@ def timeline(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("events_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")
 def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of a user's events with less than six hours between, by session windows, which merge partial sessions before the shuffle."""
+    """Runs of a user's events with less than six hours between, by session windows."""
     e = table(spark, sf, "events").where("user_id is not null and ts is not null")
     s = e.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w")).agg(F.min("ts").alias("started"), F.count("*").alias("n"))
     return s.select("user_id", "started", "n")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators import ranking as K
+from quillmesh.operators import vector_index as V
 from quillmesh.plans.registry import Registry
-from quillmesh.session import Scratch, table
+from quillmesh.session import table
 
 R = Registry()
 
@@ -181,3 +182,12 @@ def vector_reuse(spark: SparkSession, sf: str) -> DataFrame:
 def majority_vote(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "chunk").where("bundle is not null").groupBy("document_id", "bundle").agg(F.count("*").alias("n"))
     return n.groupBy("document_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "bundle")).alias("b")).select("document_id", "b.bundle")
+
+
+@R.query("ann_topk")
+def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate top ten from an inverted-file index over all rows; its recall against the exact ones is tested (0.9 or more)."""
+    q, e = _vectors(spark, sf)
+    lists = max(1, min(4_096, round(4 * e.count() ** 0.5 / 10) * 10))
+    centers = V.fit_centers(e, lists)
+    return V.search(q, V.assign(e, centers, "vec_id", "embedding"), centers, 10, max(1, lists * 2 // 5)).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

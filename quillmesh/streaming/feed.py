@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillmesh.operators.changes import latest_by
 from quillmesh.session import Scratch
 
 
@@ -45,31 +44,50 @@ def enriched(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 
 
 class KeyedTable:
-    """A table with one row per key that micro-batches are merged into; each batch writes a new generation.
+    """A table with one row per key that micro-batches are merged into.
 
-    A batch that is run again after a failure replaces its own generation, so each batch counts once.
+    Rows are spread over buckets by their key; a batch rewrites the buckets that it touches and leaves the others as
+    they are. Of the rows of a key the one of the latest batch holds, within a batch the last by ``order``. A batch that
+    is run again after a failure is known by its number and counts once.
     """
 
-    def __init__(self, spark: SparkSession, key: list[str], order: list[str]):
-        self.spark, self.key, self.order, self.keep = spark, key, order, Scratch(spark, "keyed-table")
-        self.current: DataFrame | None = None
+    def __init__(self, spark: SparkSession, key: list[str], order: list[str], buckets: int = 16):
+        self.spark, self.key, self.order, self.buckets = spark, key, order, buckets
+        self.keep = Scratch(spark, "keyed-table")
+        self.paths: dict[int, str] = {}
+        self.columns: list[str] = []
+        self.schema = None
         self.last = -1
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last:
             return
-        rows = batch.withColumn("__batch", F.lit(batch_id))
-        if self.current is not None:
-            rows = self.current.unionByName(rows)
-        k = F.struct(*self.key)
-        merged = latest_by(rows.withColumn("__key", k).select("__key", "__batch", *self.order, *[c for c in rows.columns if c not in (*self.order, "__batch")]), "__key", ["__batch", *self.order]) if self.order else None
-        new = self.keep.write((merged if merged is not None else rows.groupBy(k.alias("__key")).agg(F.max(F.struct("__batch", *[c for c in rows.columns if c != "__batch"])).alias("s")).select("s.*")).select(*batch.columns, "__batch"))
-        if self.current is not None:
-            self.keep.drop(self.current)
-        self.current, self.last = new, batch_id
+        self.columns = batch.columns
+        new = batch.withColumn("__batch", F.lit(batch_id).cast("long")).withColumn("__bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+        new = self.keep.write(new)
+        self.schema = new.schema
+        touched = [r[0] for r in new.select("__bucket").distinct().collect()]  # as many as there are buckets at most
+        stored = [self.paths[b] for b in touched if b in self.paths]
+        rows = new
+        if stored:
+            rows = rows.unionByName(self._read(stored))
+        rest = [c for c in self.columns if c not in (*self.key, *self.order)]
+        s = F.max(F.struct("__batch", *self.order, *rest)).alias("s")
+        merged = rows.groupBy(*self.key, "__bucket").agg(s).select(*self.key, "__bucket", "s.*").select(new.columns)
+        at = f"{self.keep.path}/generation-{batch_id:06d}"
+        merged.repartition("__bucket").write.partitionBy("__bucket").parquet(at)
+        self.paths |= {b: f"{at}/__bucket={b}" for b in touched}
+        self.keep.drop(new)
+        self.last = batch_id
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        fields = [f for f in self.schema.fields if f.name != "__bucket"]
+        d = self.spark.read.schema(type(self.schema)(fields)).parquet(*paths)
+        return d.withColumn("__bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
 
     def rows(self) -> DataFrame:
-        return self.current.drop("__batch")
+        """The rows as they are now; None before the first batch."""
+        return self._read(sorted(self.paths.values())).select(self.columns) if self.paths else None
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:

@@ -109,3 +109,29 @@ def test_rrf_and_measures(spark):
     dcg = 2 / math.log2(3) + 1 / math.log2(4)
     ideal = 2 / math.log2(2) + 2 / math.log2(3) + 1 / math.log2(4)
     assert m[1] == (round(2 / 3, 6), 0.5, round(dcg / ideal, 6)) and m[2] == (None, None, None) and m[3] == (0.0, 0.0, 0.0)
+
+
+def test_nearest_rank_percentiles(spark):
+    r = random.Random(3)
+    rows = [("a", r.choice([r.random(), 0.5, 7.0])) for _ in range(501)] + [("b", 1.0)] * 3 + [("c", 5.0), ("d", None)] + [("e", float(i)) for i in range(10)]
+    got = {x.k: (x.n, x.p0, x.p1, x.p2) for x in K.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "k", "v", [0.0, 0.5, 0.95], buckets=7).collect()}
+    for k in "abce":
+        v = sorted(x for kk, x in rows if kk == k)
+        assert got[k] == (len(v), *(v[round((len(v) - 1) * q)] for q in (0.0, 0.5, 0.95)))
+    assert "d" not in got
+
+
+def test_index_holds_every_row_and_recalls(spark):
+    from quillmesh.operators import vector_index as V
+
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    centers = V.fit_centers(e, 180)
+    index = V.assign(e, centers, "vec_id", "embedding")
+    assert index.select("id").distinct().count() == index.count() == e.count()
+    exact = {(r.query_id, r.id) for r in K.vector_topk(q, e, 10).collect()}
+    near = {(r.query_id, r.id) for r in V.search(q, index, centers, 10, 72).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+    odd = spark.createDataFrame([(1, None), (2, [0.0] * 64)], "vec_id long, embedding array<float>")
+    assert {r.list for r in V.assign(odd, centers, "vec_id", "embedding").collect()} == {0}
