@@ -236,7 +236,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """
     spark = documents.sparkSession
     kind = documents.schema[key].dataType
-    docs = documents.select(F.col(key), F.col(text).alias("__text")).where("length(__text) >= 23")
+    docs = documents.select(F.col(key), F.col(text).alias("__text")).where("__text <> ''")
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     schema = T.StructType([T.StructField(key, kind), T.StructField("__n", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("changes", T.IntegerType())])
     out = None
