@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import passages as P
 from quillmesh.functions.vector import cosine
+from quillmesh.operators import mentions as M
 from quillmesh.plans.registry import Registry
 from quillmesh.session import table
 from quillmesh.streaming import feed
@@ -59,6 +60,21 @@ def grounded_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return j.where("k >= 0.6 * n").select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 6).alias("share"))
 
 
+_NORM = "array_to_string(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), ' ')"
+_SPANS = f"""n AS (SELECT DISTINCT section_heading AS name, {_NORM.format('section_heading')} AS run FROM chunk WHERE section_heading IS NOT NULL), k AS (SELECT name, run, len(string_split(run, ' ')) AS length FROM n WHERE run <> ''),
+d AS (SELECT doc_id, string_split({_NORM.format('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+f AS (SELECT DISTINCT r.doc_id, r.i - 1 AS start, k.length, k.name FROM r JOIN k ON k.length <= 6 AND array_to_string(r.w[r.i:r.i + k.length - 1], ' ') = k.run)"""
+
+
+@R.query("gazetteer_mentions", f"""WITH {_SPANS.replace("FROM r JOIN k ON k.length <= 6 AND array_to_string(r.w[r.i:r.i + k.length - 1], ' ') = k.run", "FROM (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS run FROM r, (VALUES (1), (2), (3), (4), (5), (6)) t(l) WHERE i + l - 1 <= len(w)) r JOIN k ON k.length = r.l AND k.run = r.run")}
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length, name FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.length > f.length AND g.start <= f.start AND f.start + f.length <= g.start + g.length)""")
+def gazetteer_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Where section headings of the corpus stand in documents, the longest ones."""
+    names = table(spark, sf, "chunk").select(F.col("section_heading").alias("name"), F.lit("heading").alias("kind")).distinct()
+    found = M.spans(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", names)
+    return M.outermost(found, "doc_id").select("doc_id", "start", "length", "name")
+
+
 _CACHE_COS = "round(coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 0), 6)"
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import names as N
-from quillmesh.operators.changes import latest_by
 from quillmesh.plans.registry import Registry
 from quillmesh.session import table
 

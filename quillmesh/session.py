@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side that was written and counted may be broadcast.
 BROADCAST_ROWS = 200_000
+#: And up to which bytes, by its files.
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g", **conf: str) -> SparkSession:
@@ -84,9 +86,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table for broadcast if its counted rows are within the bound; else leaves it to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a written table for broadcast if its rows, counted, and its bytes, as its files tell, are within the bounds.
+
+    Otherwise the frame is left as it is, for a shuffle join.
+    """
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if known <= size and df.limit(rows + 1).count() <= rows else df
 
 
 _shipped: set[str] = set()
