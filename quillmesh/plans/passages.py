@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import passages as P
+from quillmesh.functions import phrases as Ph
 from quillmesh.functions.vector import cosine
 from quillmesh.operators import mentions as M
 from quillmesh.plans.registry import Registry
@@ -114,3 +115,21 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
 def approx_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Users per type by a sketch; exact counts are within 5 per cent, which the tests check."""
     return table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+
+
+@R.query("doc_sections", r"""WITH b0 AS (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t]*\n')) AS b, generate_subscripts(string_split_regex(text, '\n[ \t]*\n'), 1) AS i FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, i, trim(b, ' ' || chr(9) || chr(10) || chr(13)) AS b FROM b0), k AS (SELECT doc_id, i, b, length(b) <= 80 AND NOT regexp_matches(b, '[.!?:;,।]\s*$') AND NOT regexp_matches(b, '^\s*\|') AND NOT regexp_matches(b, '^\s*([-*•–]|\d{1,3}[.)])\s') AS h FROM b WHERE b <> ''),
+s AS (SELECT *, row_number() OVER w = 1 OR h AS new FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)), g AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM s)
+SELECT doc_id, CAST(sec - 1 AS INTEGER) AS section_index, max(CASE WHEN h THEN b END) AS heading, CAST(sum(CASE WHEN h THEN 0 ELSE 1 END) AS INTEGER) AS blocks, CAST(sum(CASE WHEN h THEN 0 ELSE length(b) END) AS INTEGER) AS chars FROM g GROUP BY doc_id, sec""")
+def doc_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """The headed sections of every document, folded within its row."""
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(Ph.sections(F.col("text"))).alias("section_index", "s"))
+    return d.select("doc_id", "section_index", "s.heading", "s.blocks", "s.chars")
+
+
+@R.query("since_windows", r"""SELECT item_id, regexp_extract(passage, '(?i)\bsince\s+((?:19|20)\d{2})\b', 1) || '-01-01' AS start_day FROM eval_items
+WHERE regexp_matches(passage, '(?i)\bsince\s+(19|20)\d{2}\b') AND NOT regexp_matches(passage, '(?i)\bbetween\s+(19|20)\d{2}\s+and\s+(19|20)\d{2}\b') AND NOT regexp_matches(passage, '(?i)\bfrom\s+(19|20)\d{2}\s+(to|until|till)\s+(19|20)\d{2}\b')""")
+def since_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Items whose passage names a period that began in a year and lasts."""
+    w = table(spark, sf, "eval_items").where("passage is not null").select("item_id", Ph.window_of(F.col("passage")).alias("w"))
+    return w.where("w.basis = 'since'").select("item_id", F.col("w.start").cast("string").alias("start_day"))
