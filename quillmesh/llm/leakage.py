@@ -130,10 +130,11 @@ class Index:
     def _verify(self, p: np.ndarray, own: np.ndarray, t: np.ndarray, pos: np.ndarray, at: np.ndarray) -> tuple[int, int] | None:
         done: set[tuple[int, int]] = set()
         slack = WINDOWS[-1][1]
-        diagonals = at - pos
+        diagonals = at - pos  # in order
         for diagonal in np.unique(diagonals):
-            if np.count_nonzero(np.abs(diagonals - diagonal) <= slack) < HITS:
+            if np.searchsorted(diagonals, diagonal + slack, "right") - np.searchsorted(diagonals, diagonal - slack) < HITS:
                 continue
+            here = slice(np.searchsorted(diagonals, diagonal), np.searchsorted(diagonals, diagonal, "right"))
             # words of the item that stand in the document near this diagonal
             near = np.zeros(len(p), bool)
             for d in range(diagonal - slack, diagonal + slack + 1):
@@ -142,7 +143,7 @@ class Index:
                     near[lo:hi] |= p[lo:hi] == t[lo + d : hi + d]
             total = np.concatenate(([0], np.cumsum(near)))
             hit = np.zeros(len(p) + 1, np.int64)
-            hit[pos[at - pos == diagonal]] = 1
+            hit[pos[here]] = 1
             hits = np.concatenate(([0], np.cumsum(hit)))
             for w, k in WINDOWS:
                 if len(p) < w:
@@ -159,7 +160,7 @@ class Index:
                     if r and (whole := self._whole(p, t, int(s), w, lo + r[1], k)):
                         a, n, changes = whole
                         # so short and yet changed, it must have a run of its own, not only phrases that several items share
-                        kept = pos[np.abs(diagonals - diagonal) <= k]
+                        kept = pos[np.searchsorted(diagonals, diagonal - k) : np.searchsorted(diagonals, diagonal + k, "right")]
                         if n >= WINDOWS[1][0] or not changes or own[kept[(kept >= a) & (kept <= a + n - PIECE)]].any():
                             return n, changes
         return None
