@@ -30,17 +30,21 @@ BEYOND = 8
 #: Test items whose index is in memory at once; more are taken in blocks, each with its own pass over the corpus.
 ITEMS_PER_BLOCK = 2_000
 
-_words = re.compile(r"[^\W_]+").findall
+_words = re.compile("[^\\W_]+(?:[-‐‑'’][^\\W_]+)*").findall
+_inner = re.compile("[-‐‑'’]")
 _unseen = re.compile("[­​-‏⁠﻿]")
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text, without regard to case, punctuation, spacing and compatibility forms of characters."""
+    """The words of a text, without regard to case, punctuation, spacing and compatibility forms of characters.
+
+    Hyphens and apostrophes within a word are left out, so that it stays one word.
+    """
     if not text:
         return []
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _unseen.sub("", text))
-    return _words(text.lower())
+    return [w if w.isalnum() else _inner.sub("", w) for w in _words(text.lower())]
 
 
 def myers(pattern: Sequence[int], text: Sequence[int], most: int) -> tuple[int, int] | None:

@@ -81,6 +81,10 @@ def test_random_edits_against_brute_force():
             assert not got
 
 
+def test_words_with_marks_inside():
+    assert words("A sinking-fund, don’t\n- SINKINGFUND 3-4 x_y") == ["a", "sinkingfund", "dont", "sinkingfund", "34", "x", "y"]
+
+
 def test_empty_tables_and_equal_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, question string, passage string")
