@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _REF = "struct<id:string,type:string>"
@@ -135,6 +135,13 @@ def html_pages(df: DataFrame, key: str, markup: str) -> DataFrame:
     return df.select(key, F.col(markup).alias("__m")).mapInArrow(run, f"{key} {kind}, title string, text string, sections array<struct<heading:string,text:string>>, links array<struct<href:string,label:string>>")
 
 
+def pdf_links(markup: Column) -> Column:
+    """The addresses of PDF files that a page's markup links to or names, each once, in order: from href attributes and bare ones."""
+    found = F.regexp_extract_all(markup, F.lit(r"(?i)(?:href\s*=\s*[\"']([^\"'>]+?\.pdf(?:[?#][^\"'>]*)?)[\"']|(https?://[^\s<>\"']+?\.pdf)\b)"), F.lit(0))
+    plain = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)^href\s*=\s*[\"']|[\"']$", ""), "&amp;", "&"))
+    return F.array_distinct(plain)
+
+
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, since: tuple[str, str] | None = None) -> DataFrame:
     """A stored table, with its columns and a lower bound of one pushed down to the files."""
     d = spark.read.parquet(path)

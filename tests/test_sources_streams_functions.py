@@ -34,6 +34,12 @@ def test_html(spark):
     assert d[1].text == "" and d[2].text == "plain" and d[2].title is None
 
 
+def test_pdf_links(spark):
+    m = "<a href='/a.pdf?x=1&amp;y=2'>A</a> <A HREF=\"https://h/b.PDF\">B</A> see https://h/c.pdf, <a href='/d.html'>D</a> https://h/c.pdf"
+    assert one(spark, S.pdf_links(F.col("v")), v=m) == ["/a.pdf?x=1&y=2", "https://h/b.PDF", "https://h/c.pdf"]
+    assert one(spark, S.pdf_links(F.col("v")), v="") == []
+
+
 def test_scan_pushes_down(spark, tmp_path):
     df = spark.createDataFrame([(i, f"v{i}", i % 2) for i in range(10)], "id int, v string, p int")
     S.write_table(df, str(tmp_path / "t"), ["p"])
