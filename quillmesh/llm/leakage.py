@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -227,6 +228,17 @@ def _follow(p: list[int], t: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+_built: dict[str, Index] = {}
+
+
+def _index(token: str, items: list[tuple[int, str, str]]) -> Index:
+    """The index of a block, built once per worker process; one block's index is kept at a time."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = Index(items)
+    return _built[token]
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", fields: Sequence[str] = ("question", "passage")) -> DataFrame:
     """Documents that hold a quotation of a test item: ``key``, ``item``, ``field``, ``words``, ``changes``, one row per pair and field.
 
@@ -248,10 +260,10 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).select(item, *fields).collect()
         block = [(r[item], f, r[f]) for r in rows for f in fields if r[f]]
-        shared = spark.sparkContext.broadcast(block)
+        shared, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            index = _index(token, shared.value)
             get = index.ids.get
             for batch in batches:
                 texts = batch.column("__text").to_pylist()
