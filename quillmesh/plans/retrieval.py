@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions import names as N
 from quillmesh.operators import ranking as K
 from quillmesh.operators import vector_index as V
 from quillmesh.plans.registry import Registry
@@ -96,7 +97,6 @@ def banded_rerank(spark: SparkSession, sf: str) -> DataFrame:
 f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM legs GROUP BY 1, 2)
 SELECT query_id, id, round(s, 9) AS fusion_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS rank FROM f""")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
     c = _candidates(spark, sf)
     other = c.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("authority"), F.desc("chars"), "id")).alias("rank"))
     return K.rrf(c.select("query_id", "id", "rank").unionByName(other)).select("query_id", "id", F.round("fusion_score", 9).alias("fusion_score"), F.col("rank").cast("long").alias("rank"))
@@ -191,3 +191,36 @@ def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
     lists = max(1, min(4_096, round(4 * e.count() ** 0.5 / 10) * 10))
     centers = V.fit_centers(e, lists)
     return V.search(q, V.assign(e, centers, "vec_id", "embedding"), centers, 10, max(1, lists * 2 // 5)).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_FOLD = "trim(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžłø', 'aaaaaaceeeeiiiinooooouuuuyyszlo'), '[^a-z0-9]+', ' ', 'g'))"
+_HYBRID = f"""w AS (SELECT DISTINCT doc_id, unnest(string_split({_FOLD}, ' ')) AS word FROM documents WHERE title IS NOT NULL),
+s AS (SELECT word FROM w WHERE length(word) >= 4 GROUP BY 1 HAVING count(*) <= greatest(25, 0.01 * (SELECT count(*) FROM documents WHERE title IS NOT NULL))),
+k AS (SELECT q.doc_id AS query_id, d.doc_id AS id, count(*) AS hits FROM w q JOIN s USING (word) JOIN w d USING (word) WHERE q.doc_id % 50 = 0 AND q.doc_id IN (SELECT vec_id FROM embeddings) AND d.doc_id <> q.doc_id GROUP BY 1, 2),
+legs AS (SELECT query_id, id, rank FROM cand UNION ALL SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM k) WHERE rank <= 40),
+f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM legs GROUP BY 1, 2)"""
+
+
+@R.query("hybrid_topk", f"WITH {_CAND}, {_HYBRID} SELECT query_id, id, fusion_score, rank FROM (SELECT query_id, id, round(s, 9) AS fusion_score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS rank FROM f) WHERE rank <= 10")
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by the vectors and by the selective title words of a query document, fused."""
+    words = F.explode(F.array_distinct(F.split(N.fold(F.col("title")), " "))).alias("word")
+    titled = table(spark, sf, "documents").where("title is not null")
+    w = titled.select("doc_id", words).where("length(word) >= 4")
+    n = titled.agg(F.count("*")).scalar()
+    rare = w.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") <= F.greatest(F.lit(25.0), n * 0.01)).select("word")
+    w = w.join(rare, "word")
+    asked = w.where("doc_id % 50 = 0").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+    hits = asked.join(w.withColumnRenamed("doc_id", "id"), "word").where("id <> query_id").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+    words_leg = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "id"))).where("rank <= 40").select("query_id", "id", "rank")
+    fused = K.rrf(_candidates(spark, sf).select("query_id", "id", "rank").unionByName(words_leg)).where("rank <= 10")
+    return fused.select("query_id", "id", F.round("fusion_score", 9).alias("fusion_score"), F.col("rank").cast("long").alias("rank"))
+
+
+@R.query("relaxed_scope", f"""WITH {_CAND}, x AS (SELECT *, date >= DATE '2022-06-01' AND authority >= 0.8 AND score >= 0.25 AS fits FROM base)
+SELECT query_id, id, score, NOT bool_or(fits) OVER (PARTITION BY query_id) AS relaxed FROM x QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY query_id)""")
+def relaxed_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates within the facets of a question; where none is, the facets are let go rather than the question left empty."""
+    x = _candidates(spark, sf).withColumn("fits", (F.col("date") >= F.lit("2022-06-01").cast("date")) & (F.col("authority") >= 0.8) & (F.col("score") >= 0.25))
+    some = x.groupBy("query_id").agg(F.max("fits").alias("some"))
+    return x.join(some, "query_id").where("fits or not some").select("query_id", "id", "score", (~F.col("some")).alias("relaxed"))
