@@ -58,6 +58,20 @@ def scratch_root(spark: SparkSession) -> str:
     return own
 
 
+_made: list[str] = []
+
+
+def _clean() -> None:
+    """Removes the scratch tables of an ended driver where their folder is a mounted one; other stores have their own expiry."""
+    for path in _made:
+        local = path.removeprefix("file://")
+        if local.startswith("/"):
+            shutil.rmtree(local, ignore_errors=True)
+
+
+atexit.register(_clean)
+
+
 class Scratch:
     """Written tables that cut lineage and survive the loss of executors.
 
@@ -69,6 +83,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        _made.append(self.path)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
