@@ -94,7 +94,7 @@ def p6_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("p3_found")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of scanned text that are page furniture, or hold a divided or a misread word."""
-    return Repair(scanned_records(table(spark, sf, "pdf_evidence"), table(spark, sf, "table_data"))).found()
+    return Repair(scanned_records(table(spark, sf, "pdf_evidence"), table(spark, sf, "table_data")), texts=False).found()
 
 
 @R.query("p3_repaired")
