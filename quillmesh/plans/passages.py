@@ -113,7 +113,7 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("approx_distinct")
 def approx_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    """Users per type by a sketch; exact counts are within 5 per cent, which the tests check."""
+    """Users per type by a sketch with a relative error of 0.02."""
     return table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
 
 

@@ -36,3 +36,20 @@ def test_tools(catalog):
     by = T.aggregate_records(catalog, C.Scope(), "bundle")
     assert by.cut and by.rows.count() == 20 and [r.key for r in T.aggregate_records(catalog, C.Scope(), "year").rows.collect()] == ["2000", "2001", "2002", "2003", "2004"]
     assert T.aggregate_records(catalog, C.Scope(), "bundle", "year").rows.count() == 30 and T.aggregate_records(catalog, C.Scope(), "bundle", "x").outcome == "refused"
+
+
+def test_sketch_and_fuzzy_scores(spark):
+    import difflib
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from quillmesh.plans.passages import approx_distinct
+    from quillmesh.plans.upkeep import _ratio
+
+    sf = "/root/testdata/sf0.01"
+    exact = {r.event_type: r.n for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.countDistinct("user_id").alias("n")).collect()}
+    got = {r.event_type: r.users for r in approx_distinct(spark, sf).collect()}
+    assert set(got) == set(exact) and all(abs(got[k] - exact[k]) <= 0.06 * exact[k] for k in exact)
+    s = _ratio(pd.Series(["water report", "b a", None]), pd.Series(["water reports", "a b", "x"]))
+    assert s[0] == round(difflib.SequenceMatcher(None, "water report", "water reports").ratio(), 6) and s[1] == 1.0 and s[2] == 0.0
