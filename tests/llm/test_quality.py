@@ -53,7 +53,7 @@ def test_divergence():
 
 
 def test_labelled_documents():
-    """Held-out accuracy: no constant was chosen by the labels of the smallest scales."""
+    """Labelled documents of the two smallest scales. They were read when the layouts were designed, so this is no held-out accuracy."""
     right = n = 0
     for sf in ("sf0.001", "sf0.01"):
         if not glob.glob(f"/root/testdata/{sf}/doc_labels.parquet"):
