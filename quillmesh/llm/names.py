@@ -1,9 +1,10 @@
 """Variant spellings of names: values that name the same person or organisation, linked.
 
-Values are reduced to forms (words, initials). Similar words are found by MinHash banding over padded q-grams, with
-rows and bands chosen from the collision curve; forms that share a similar word and an initial of another are
-candidates, verified word by word by Monge-Elkan similarity. Star clustering gathers the forms around the most
-frequent ones; forms of initials join the only cluster that they fit.
+Values are reduced to forms (words, initials). Forms that share an exact key of what must agree in two forms of one
+name are candidates: a word and the other part (equal, of the same formal name, abbreviated, or its initial), where
+one word may have lost a letter. Any pair that can be verified shares a key, however common its words are; pairs are
+verified word by word by Monge-Elkan similarity. Star clustering gathers the forms around the most frequent ones;
+forms of initials join the only cluster that they fit.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +34,8 @@ pamela pam | patricia pat patty tricia trish | patrick pat paddy | peter pete |
 stephen steve | steven steve | susan sue susie suzy | theodore ted theo teddy | theresa terry tess | thomas tom tommy | timothy tim | ulrike uli rike ulli | vasanthi vasu | victor vic | victoria vicky tori vic vikki | vincent vince | walter walt wally | wanjiru shiru ciru | william will bill billy willy liam | yashoda yashu | zachary zach zack | zubaida zubi
 """
 
-#: Letters of a q-gram; words are padded so that their ends count.
-Q = 3
-#: Similarity of q-grams at which two writings of a word must meet in a band, and how surely.
+#: Similarity at which two sets must meet in a band, and how surely, for ``tune``; names are not banded.
 SIMILARITY, RECALL = 0.5, 0.998
-#: Words in at most so many forms are looked up for candidates, besides the rarest word of each form.
-COMMON = 100
 #: Monge-Elkan similarity from which two forms name the same.
 SAME = 0.85
 
@@ -188,28 +184,112 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("value"), b.column("n"), pa.array(cols[0], pa.string()), *(pa.array(c, lists) for c in cols[1:])], names=["value", "n", "form", "words", "short", "initials"])
 
 
-def _hashes(rows: int, bands: int):
-    rng = np.random.default_rng(20240607)
-    mul = rng.integers(1, 2**61, rows * bands, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2**61, rows * bands, dtype=np.uint64)
+#: A formal name of each group of names that short forms connect.
+_GROUP: dict[str, str] = {n: n for n in _FORMAL}
+while any(_GROUP[n] != min(_GROUP[f] for f in fs) for n, fs in _FORMAL.items()):
+    for _n, _fs in _FORMAL.items():
+        _least = min(_GROUP[f] for f in _fs | {_n})
+        _GROUP |= {f: _least for f in _fs | {_n}}
 
+
+def _shortened(w: str) -> set[str]:
+    """The word and it without each of its letters: words an edit apart share one. None of words under four letters."""
+    return {f"-{w}", *(f"-{w[:i]}{w[i + 1:]}" for i in range(len(w)))} if len(w) >= 4 else set()
+
+
+def pair_keys(form: tuple[list[str], list[str], list[str]], codes: dict[int, set[str]], initials: dict[int, int]) -> set[tuple[str, int]]:
+    """(key, side) of a form. Two forms that ``compare`` accepts share a key of side 0, or one of side 1 and one of side 2.
+
+    codes: the first letters of abbreviated words by the number of words of their forms; initials: the most initials
+    that forms of so many words have.
+    """
+    parts = sorted([(w, False) for w in form[0]] + [(w, True) for w in form[1]], key=lambda p: -len(p[0]))
+    k, ini, out, every = len(parts), form[2], set(), set().union(*codes.values())
+    letters = lambda w: {n[:1] for n in _FORMAL.get(w, {w}) | {w}}
+    equal = lambda p: {f"={f}" for f in _FORMAL.get(p[0], {p[0]})}
+    abbreviates = lambda p, mark: {mark + p[0][:2]} if p[1] else set()
+    abbreviated = lambda p, mark, known: {mark + c for c in {p[0][:1], *(p[0][:1] + x for x in p[0][1:])} & known}
+    # x: a word of side 1 abbreviates one of side 2, y: the reverse
+    short = lambda p, side, known: abbreviates(p, "xy"[side - 1]) | abbreviated(p, "yx"[side - 1], known)
+    cross = lambda a, b: {"|".join(sorted(c)) for c in itertools.product(a, b)}
+
+    def two(p, q, side: int) -> set[str]:
+        """Keys of two words, at most one with an edit."""
+        x, y = (equal(p) | short(p, side, every), equal(q) | short(q, side, every))
+        return cross(x, y | _shortened(q[0])) | cross(x | _shortened(p[0]), y)
+
+    if k == 1:
+        # the other has one word as well, and the same first initial or none
+        head = f"1{ini[0] if ini else ''}:"
+        out |= {(head + x, 0) for x in equal(parts[0]) | _shortened(parts[0][0])}
+        out |= {(head + x, 1) for x in abbreviates(parts[0], "x")} | {(head + x, 2) for x in abbreviated(parts[0], "x", every)}
+    elif k == 2:
+        p, q = parts
+        out |= {("2:" + x, 0) for x in cross(equal(p), equal(q) | _shortened(q[0])) | cross(_shortened(p[0]), equal(q))}
+    elif k > 2:
+        # all words but one are equal or short forms
+        groups = [_GROUP.get(w, w) for w, _ in parts]
+        out |= {(f"{k}:" + " ".join(sorted(groups[:i] + groups[i + 1:])), 0) for i in range(k)}
+    if k >= 2:
+        known, some = codes.get(k, set()), next((i for i, p in enumerate(parts) if not p[1]), None)
+        for i, p in enumerate(parts):
+            if p[1]:
+                # the longest other word that is not abbreviated, if any
+                q = parts[some if some is not None else 0 if i else 1]
+                out |= {(f"{k}a:{x}|{y}", 1) for x in abbreviates(p, "x") for y in equal(q) | short(q, 1, every) | _shortened(q[0])}
+            for x in abbreviated(p, "x", known):
+                out |= {(f"{k}a:{x}|{y}", 2) for j, q in enumerate(parts) if j != i for y in equal(q) | short(q, 2, every) | _shortened(q[0])}
+    # words of side 2 stand as initials in side 1
+    if ini and k == 1:
+        out |= {(f"i{ini[0]}:{x}", 1) for x in equal(parts[0]) | short(parts[0], 1, every) | _shortened(parts[0][0])}
+    elif ini and k >= 2:
+        out |= {(f"j{ini[0]}:{x}", 1) for p, q in itertools.combinations(parts, 2) for x in two(p, q, 1)}
+    if k >= 2 and k - 1 <= initials.get(1, 0):
+        # of one word more than there are initials, one is no initial
+        for i, p in enumerate(parts[: initials[1] + 1]):
+            heads = set().union(*(letters(w) for j, (w, _) in enumerate(parts) if j != i))
+            out |= {(f"i{h}:{x}", 2) for h in heads for x in equal(p) | short(p, 2, every) | _shortened(p[0])}
+    most = max((m for n, m in initials.items() if 2 <= n < k <= n + m), default=0)
+    if most:
+        for (i, p), (j, q) in itertools.combinations(enumerate(parts[: most + 2]), 2):
+            heads = set().union(*(letters(w) for n, (w, _) in enumerate(parts) if n not in (i, j)))
+            out |= {(f"j{h}:{x}", 2) for h in heads for x in two(p, q, 2)}
+    return out
+
+
+def _keys(codes: dict[int, set[str]], initials: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        make = lambda c: pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int8())], names=["form", "key", "side"])
+        cols: tuple[list, list, list] = ([], [], [])
         for b in batches:
-            words, keys = [], []
-            for w in b.column("word").to_pylist():
-                p = "\x02" * (Q - 1) + w + "\x03" * (Q - 1)
-                g = np.array([xxhash.xxh64_intdigest(p[i : i + Q]) for i in range(len(p) - Q + 1)], np.uint64)
-                h = ((g[:, None] * mul + add) >> np.uint64(11)).min(0).reshape(bands, rows)
-                for band in range(bands):
-                    words.append(w)
-                    keys.append(xxhash.xxh64_intdigest(h[band].tobytes(), band) - 2**63)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.int64())], names=["word", "key"])
+            for form, w, s, i in zip(*(b.column(c).to_pylist() for c in ("form", "words", "short", "initials"))):
+                for key, side in pair_keys((w, s, i), codes, initials):
+                    for c, x in zip(cols, (form, xxhash.xxh64_intdigest(key) - 2**63, side)):
+                        c.append(x)
+                if len(cols[0]) >= 50_000:
+                    yield make(cols)
+                    cols = ([], [], [])
+        yield make(cols)
 
     return run
 
 
+def _candidates(forms: DataFrame, keep: Scratch) -> DataFrame:
+    """(a, b) with a < b: all pairs of forms that share a key. forms: form, words, short, initials."""
+    k = F.size("words") + F.size("short")
+    codes: dict[int, set[str]] = {}
+    for r in forms.select(k.alias("k"), F.explode("short").alias("s")).select("k", F.substring("s", 1, 2).alias("c")).distinct().toLocalIterator():
+        codes.setdefault(r.k, set()).add(r.c)
+    initials = {r.k: r.m for r in forms.where(F.size("initials") > 0).groupBy(k.alias("k")).agg(F.max(F.size("initials")).alias("m")).toLocalIterator()}
+    keyed = keep.write(forms.select("form", "words", "short", "initials").mapInArrow(_keys(codes, initials), "form string, key long, side byte"))
+    side = lambda n, name: keyed.where(F.col("side") == n).select("key", F.col("form").alias(name))
+    both = side(0, "a").join(side(0, "b"), "key").where("a < b").select("a", "b")
+    across = side(1, "x").join(side(2, "y"), "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return both.unionByName(across).distinct()
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = lambda f: tuple(x.split() for x in f.split("|", 2))
     for b in batches:
@@ -220,18 +300,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").take(take), b.column("b").take(take), pa.array([got[i][0] for i in ok], pa.float64()), pa.array([got[i][1] for i in ok], pa.int32())], names=["a", "b", "similarity", "edits"])
 
 
-def _similar_words(words: DataFrame, keep: Scratch) -> DataFrame:
-    """(word, like) of words equal or at most an edit apart; words: word."""
-    rows, bands = tune()
-    keyed = keep.write(words.where("length(word) >= 4").mapInArrow(_hashes(rows, bands), "word string, key long"))
-    pairs = keyed.join(keyed.withColumnRenamed("word", "like"), "key").where("word < like").select("word", "like").distinct()
-    d = F.levenshtein("word", "like", 2)
-    swapped = (d == 2) & (F.length("word") == F.length("like")) & (F.array_sort(F.split("word", "")) == F.array_sort(F.split("like", "")))
-    near = keep.write(pairs.where((d == 1) | swapped))
-    keep.drop(keyed)
-    return near.unionByName(near.select(F.col("like").alias("word"), F.col("word").alias("like"))).unionByName(words.select("word", F.col("word").alias("like")))
-
-
 def _stars(nodes: DataFrame, edges: DataFrame, keep: Scratch) -> DataFrame:
     """Star clustering: (form, center, edits). nodes: form, n; edges: a, b, similarity, edits, both directions.
 
@@ -270,22 +338,7 @@ def link_names(df: DataFrame, name: str = "author") -> DataFrame:
     lists = "array<string>"
     parsed = keep.write(values.mapInArrow(_forms, f"value string, n long, form string, words {lists}, short {lists}, initials {lists}"))
     forms = keep.write(parsed.groupBy("form").agg(F.sum("n").alias("n"), *(F.any_value(c).alias(c) for c in ("words", "short", "initials"))))
-    used = keep.write(forms.select("form", F.explode(F.array_distinct("words")).alias("word")))
-    often = used.groupBy("word").agg(F.count("*").alias("df"))
-    like = keep.write(_similar_words(often.select("word"), keep))
-    family = like.join(often.withColumnRenamed("word", "like"), "like").groupBy("word").agg(F.sum("df").alias("family"))
-    ranked = used.join(family, "word")
-    rarest = ranked.groupBy("form").agg(F.min(F.struct("family", "word")).alias("r"))
-    looked = ranked.join(rarest, "form").where((F.col("family") <= COMMON) | (F.col("word") == F.col("r.word"))).select("form", "word")
-    # letters of the other parts of a form: the first two, lest an error in one parts the pair, and those of full names of short forms
-    formal = F.create_map(*[F.lit(x) for s, fs in sorted(_FORMAL.items()) for x in (s, " ".join(sorted(fs)))])
-    others = lambda w: F.array_except(F.concat("words", "short", "initials"), F.array(w))
-    letters = F.array_distinct(F.flatten(F.transform(others(F.col("word")), lambda o: F.concat(
-        F.array(F.substring(o, 1, 1), F.substring(o, 2, 1)), F.transform(F.split(F.coalesce(F.try_element_at(formal, o), o), " "), lambda f: F.substring(f, 1, 1))))))
-    keyed = keep.write(looked.join(forms, "form").select("form", "word", F.explode(letters).alias("letter")).where("letter <> ''"))
-    right = keyed.join(like, "word").select(F.col("like").alias("word"), "letter", F.col("form").alias("b"))
-    pairs = keyed.withColumnRenamed("form", "a").join(right, ["word", "letter"]).where("a < b").select("a", "b").distinct()
-    edges = keep.write(pairs.repartition("a").mapInArrow(_verify, "a string, b string, similarity double, edits int"))
+    edges = keep.write(_candidates(forms, keep).repartition("a").mapInArrow(_verify, "a string, b string, similarity double, edits int"))
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", "edits"))
     # a form of initials has one word, and no given name
     brief = forms.where((F.size("words") + F.size("short") <= 1) & (F.size("initials") > 0)).select("form")
