@@ -34,3 +34,10 @@ def test_names_of_common_words_are_linked(spark):
     same = ["Robert Xumarov", "Bob Xumarov", "R. Xumarov"]
     got = {r.value: r.cluster for r in link_names(spark.createDataFrame([(v,) for v in filler + same * 3], "author string")).collect()}
     assert len({got[v] for v in same}) == 1
+
+
+def test_short_words_with_an_error_and_single_words_are_linked(spark):
+    pairs = [("Tariq Wang", "Tariq Wagn"), ("Ulla Smith", "Ulla Smtih"), ("Ines Garcia", "Ines Gracia"), ("Oto Meyer", "Oto Mayer"), ("Farmwatch", "Farmwacth"), ("Telekom", "TELEKON")]
+    filler = [f"{g} {w}{x}" for g in ("Tariq", "Ulla", "Ines", "Oto") for w in ("Bron", "Velt", "Dask") for x in itertools.islice(map("".join, itertools.product("aeiou", repeat=3)), 40)]
+    got = {r.value: r.cluster for r in link_names(spark.createDataFrame([(v,) for v in filler + [v for p in pairs for v in p]], "author string")).collect()}
+    assert all(got[a] == got[b] for a, b in pairs)
