@@ -31,12 +31,12 @@ DIGITS = {"o": "0", "q": "0", "d": "0", "i": "1", "l": "1", "|": "1", "!": "1",
 
 #: How many times more often than what is read a word must stand elsewhere, to be what was meant.
 RATIO = 8
-#: The same for words that stand in pages without a sign of a scan as well, of which each stands at most so many times.
-FAR_RATIO, MOST_SEEN = 250, 10_000
+#: The same for words that stand in pages without a sign of a scan as well.
+FAR_RATIO = 250
 #: Of so many times that a misread word stands in running text, at most one is in a text without furniture and divided words.
 CLEAN = 4
-#: A word that stands so few times may be misread wherever it stands.
-FEW = 3
+#: A word that stands so few times may be misread wherever it stands: FEW, or one in FEW_OF of all words where that is more.
+FEW, FEW_OF = 3, 300_000
 #: How alike two lines must be to be the same title.
 ALIKE = 0.88
 #: Lines at page edges, before and after one, that it is compared with.
@@ -302,10 +302,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols: list[list] = [[], [], [], [], []]
         for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
-            if len(w) < 3 or len(w) > 60 or not any(c.isalpha() for c in w) and "@" not in w:
+            # of words of two letters, those that mix digits and letters
+            if len(w) < 2 or len(w) == 2 and not (any(c.isdigit() for c in w) and any(c.isalpha() for c in w)) or len(w) > 60 or not any(c.isalpha() for c in w) and "@" not in w:
                 continue
             once = corrections(w)
-            for c, i in (corrections(w, twice=True) if n <= 50 else once).items():
+            for c, i in corrections(w, twice=True).items():
                 for col, x in zip(cols, (w, n, c, i, 1 if c in once else 2)):
                     col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32()))], names=["word", "n", "meant", "place", "changes"])
@@ -348,10 +349,11 @@ class Repair:
         read = numbers.select("word", back.alias("meant"), F.lit(0).alias("place"))
         # words proper stand in pages without a sign of a scan as well, misread ones hardly
         mixed = F.col("word").rlike(r"[0-9@$|!]") & F.col("word").rlike(r"[a-z]")
-        suspect = words.where((F.col("n_clean") * CLEAN <= F.col("n_running")) | (F.col("n") <= FEW) | mixed)
+        few = max(FEW, (words.agg(F.sum("n")).first()[0] or 0) // FEW_OF)
+        suspect = words.where((F.col("n_clean") * CLEAN <= F.col("n_running")) | (F.col("n") <= few) | mixed)
         found = self._meant(suspect.join(numbers, "word", "left_anti").select("word", "n")).unionByName(read)
         # whatever the pages, a word so much rarer than what it may have been
-        other = words.where(~mixed & ~((F.col("n_clean") * CLEAN <= F.col("n_running")) | (F.col("n") <= FEW)) & (F.col("n") <= F.lit(MOST_SEEN)))
+        other = words.where(~mixed & ~((F.col("n_clean") * CLEAN <= F.col("n_running")) | (F.col("n") <= few)))
         return self.keep.write(found.unionByName(self._meant(other.select("word", "n"), FAR_RATIO)))
 
     def _divided(self) -> DataFrame:
