@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.session import Scratch
+
 #: (words of a window, changes allowed in it). A quotation of 24 words or more holds one of 12 or more within the same share of changes.
 WINDOWS = ((12, 2), (15, 3), (20, 4))
 #: Words of the shortest piece of any window: 15 words in 4 pieces.
@@ -78,7 +80,8 @@ def myers(pattern: Sequence[int], text: Sequence[int], most: int) -> tuple[int,
 class Index:
     """The pieces of a block of test items."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
+    def __init__(self, items: list[tuple[int, str, str]], shared: frozenset[str] = frozenset()):
+        """shared: runs of the block that different texts of other blocks have as well."""
         self.names = [(i, f) for i, f, _ in items]
         self.ids: dict[str, int] = {}
         self.texts = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(t)], np.int64) for _, _, t in items]
@@ -96,11 +99,18 @@ class Index:
         keys, item, pos = (np.concatenate(x) if x else none for x in (keys, item, pos))
         order = np.argsort(keys, kind="stable")
         self.keys_, self.item, self.pos = keys[order], item[order], pos[order]
-        _, which, many = np.unique(self.keys_, return_inverse=True, return_counts=True)
-        #: Runs that no other place of the items has, by item and position.
-        self.own = [np.zeros(len(t), bool) for t in self.texts]
-        for i, at, n in zip(self.item, self.pos, many[which] if len(which) else []):
-            self.own[i][at] = n == 1
+        # copies of a text count once
+        first: dict[bytes, int] = {}
+        copy = np.array([first.setdefault(t.tobytes(), n) for n, t in enumerate(self.texts)], np.int64)
+        held = np.unique(np.stack([self.keys_, copy[self.item]]), axis=1)[0] if len(self.keys_) else self.keys_
+        runs, many = np.unique(held, return_counts=True)
+        single = runs[many == 1]
+        said = [None, *self.ids]
+        #: Runs that no different text of the items has, by item and position.
+        self.own = [np.isin(self.keys(t), single) for t in self.texts]
+        for t, own in zip(self.texts, self.own):
+            for at in np.flatnonzero(own) if shared else ():
+                own[at] = " ".join(said[w] for w in t[at : at + PIECE]) not in shared
 
     def keys(self, t: np.ndarray) -> np.ndarray:
         """A number for every run of PIECE words."""
@@ -128,7 +138,7 @@ class Index:
         items, pos, at = items[order], pos[order], at[order]
         cuts = np.flatnonzero(np.diff(items)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(items)]):
-            if b - a >= HITS and (found := self._verify(self.texts[items[a]], self.own[items[a]], t, pos[a:b], at[a:b])):
+            if b - a >= HITS and (found := self._verify(self.texts[items[a]], self.own[items[a]], t, pos[a:b], at[a:b]) or _verbatim(pos[a:b], at[a:b])):
                 out.append((int(items[a]), *found))
         return out
 
@@ -193,6 +203,13 @@ class Index:
         return None
 
 
+def _verbatim(pos: np.ndarray, at: np.ndarray) -> tuple[int, int] | None:
+    """The longest unchanged quotation among hits in order of diagonal and place, whatever stands around it."""
+    cuts = np.flatnonzero((np.diff(pos) != 1) | (np.diff(at) != 1)) + 1
+    n = int(np.diff(np.concatenate(([0], cuts, [len(pos)]))).max()) + PIECE - 1
+    return (n, 0) if n >= WINDOWS[0][0] else None
+
+
 def _equal(p: list[int], t: list[int]) -> list[tuple[int, int]]:
     """Pairs of equal words in an alignment of all of p with an end of t."""
     rows = [[0] * (len(t) + 1)]
@@ -231,20 +248,35 @@ def _follow(p: list[int], t: list[int]) -> list[tuple[int, int]]:
 _built: dict[str, Index] = {}
 
 
-def _index(token: str, items: list[tuple[int, str, str]]) -> Index:
+def _index(token: str, items: list[tuple[int, str, str]], shared: frozenset[str]) -> Index:
     """The index of a block, built once per worker process; one block's index is kept at a time."""
     if token not in _built:
         _built.clear()
-        _built[token] = Index(items)
+        _built[token] = Index(items, shared)
     return _built[token]
 
 
+def _shared(items: DataFrame, item: str, fields: Sequence[str], blocks: int) -> DataFrame:
+    """(block, run): runs that different texts of the items have, in each block that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(n, " ".join(w[i : i + PIECE]), " ".join(w)) for n, t in zip(*(b.column(c).to_pylist() for c in ("block", "text"))) if len(w := words(t)) >= WINDOWS[0][0] for i in range(len(w) - PIECE + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))], names=["block", "run", "text"])
+
+    texts = items.select(F.pmod(F.xxhash64(item), F.lit(blocks)).cast("long").alias("block"), F.explode(F.array(*fields)).alias("text")).where("text is not null")
+    runs = texts.mapInArrow(run, "block long, run string, text string").select("block", "run", F.xxhash64("text").alias("text"))
+    several = runs.groupBy("run").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("run")
+    return runs.select("block", "run").distinct().join(several, "run")
+
+
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", fields: Sequence[str] = ("question", "passage")) -> DataFrame:
     """Documents that hold a quotation of a test item: ``key``, ``item``, ``field``, ``words``, ``changes``, one row per pair and field.
 
     A quotation is 12 or more words in sequence from the field, with at most one word in five exchanged, dropped or
     added; case, punctuation, spacing and line breaks don't count. Where the text around it goes on like the item but
-    the whole then has more changes than that, it is a sentence built alike and no quotation. words and changes are of
+    the whole then has more changes than that, it is a sentence built alike and no quotation, unless 12 words in sequence
+    are unchanged. words and changes are of
     the first quotation that was verified. Whole texts are searched, without a bound on hits or items.
 
     Null and empty texts hold nothing, and null fields or ones under 12 words are not held; rows with equal keys are
@@ -257,13 +289,16 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     schema = T.StructType([T.StructField(key, kind), T.StructField("__n", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("changes", T.IntegerType())])
     out = None
+    keep = Scratch(spark, "leaks")
+    several = keep.write(_shared(items, item, fields, blocks)) if blocks > 1 else None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).select(item, *fields).collect()
         block = [(r[item], f, r[f]) for r in rows for f in fields if r[f]]
-        shared, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        other = frozenset(r.run for r in several.where(F.col("block") == b).toLocalIterator()) if several is not None else frozenset()
+        shared, token = spark.sparkContext.broadcast((block, other)), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
-            index = _index(token, shared.value)
+            index = _index(token, *shared.value)
             get = index.ids.get
             for batch in batches:
                 texts = batch.column("__text").to_pylist()
