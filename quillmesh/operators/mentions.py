@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import let
 
-#: Words of the longest name that is looked up; longer ones are found by the plans for whole passages.
-MOST_WORDS = 6
+#: Runs of up to so many words are built by zipping, longer ones by slices, lest the plan grows with the names.
+ZIPPED = 6
 
 
 def words(text: Column) -> Column:
@@ -16,15 +16,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
+def _joined(w: Column, k: int):
+    return lambda _, i: F.array_join(F.slice(w, i + 1, F.lit(k)), " ")
+
+
 def spans(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """key, start, length, name, kind for every place where a name stands, by words; names: name, kind.
 
     Runs of as many words as names have are joined with the names, so the dictionary may be of any size; sizes that no
-    name has are not built. Names of more than MOST_WORDS words, null and blank ones, are left out.
+    name has are not built. Null and blank names are left out.
     """
     n = names.where("name is not null").select("name", "kind", words(F.col("name")).alias("w")).withColumn("length", F.size("w"))
-    n = n.where(F.col("length").between(1, MOST_WORDS)).select(F.array_join("w", " ").alias("run"), "length", "name", "kind").distinct()
-    sizes = [r[0] for r in n.select("length").distinct().collect()]  # MOST_WORDS at most
+    n = n.where(F.col("length") >= 1).select(F.array_join("w", " ").alias("run"), "length", "name", "kind").distinct()
+    sizes = [r[0] for r in n.select("length").distinct().collect()]  # as many as names have lengths
     if not sizes:
         return df.select(key, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("name"), F.lit("").alias("kind")).limit(0)
 
@@ -36,7 +40,9 @@ def spans(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
         for k in sorted(sizes):
             size = F.greatest(F.size(w) - (k - 1), F.lit(0))
             out = F.slice(w, 1, size)
-            for i in range(1, k):
+            if k > ZIPPED:
+                out = F.transform(out, _joined(w, k))
+            for i in range(1, k if k <= ZIPPED else 1):
                 out = F.zip_with(out, F.slice(w, 1 + i, size), lambda a, b: F.concat_ws(" ", a, b))
             parts.append(at(out, k))
         return F.concat(*parts)
@@ -48,7 +54,7 @@ def spans(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
 def outermost(found: DataFrame, key: str) -> DataFrame:
     """Spans that no longer span of the same text holds; equal spans of several names all stay.
 
-    Each span is compared with those that begin up to MOST_WORDS before it, by an equi-join on the text and the place.
+    Each span is compared with those that hold its place, by an equi-join on the text and the place.
     """
     longer = found.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("length").alias("__l")).distinct().where("__l > 1")
     covers = longer.select("__k", "__s", "__l", F.explode(F.sequence(F.col("__s"), F.col("__s") + F.col("__l") - 1)).alias("start"))
