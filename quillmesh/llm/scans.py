@@ -43,10 +43,12 @@ ALIKE = 0.88
 NEARBY = 12
 
 MARKS = "-‐­¬"
+_MARKS = frozenset(MARKS)
 _PAGE = re.compile(r"^\W*(?:(?:page|seite|p[aá]g(?:ina|\.)?|p\.)\s*)?([0-9OoIlSsBZzb]{1,4}|[ivxlc]{1,6})(?:\s*(?:of|von|de|sur|/)\s*[0-9OoIlSsBZzb]{1,4})?[^\w.,;:!?]*$", re.I)
 _ROMAN = re.compile(r"^\W*(?:x{0,3}(?:ix|iv|v?i{0,3})|x?l?x{0,3}v?i{0,3})\W*$")
 _STYLED = re.compile(r"^\s*(?:[-–—\[(]\s*\w+\s*[-–—\])]|(?:page|seite|p[aá]g)\w*\.?\s.*)\s*$", re.I)
 _TITLED = (re.compile(r"^\s*(?P<n>[0-9OoIlSsBZ]{1,4})(?:\s{2,}|\t|\s*\|\s*)(?P<t>\S.*?)\s*$"), re.compile(r"^\s*(?P<t>\S.*?)(?:\s{2,}|\t|\s*\|\s*)(?P<n>[0-9OoIlSsBZ]{1,4})\s*$"))
+_READ_AS_DIGITS = frozenset("0123456789OoIlSsBZ")
 _ENDED = re.compile(r"[.!?।…:;][\"'”’»)\]]*\s*$")
 _DIVIDED = re.compile(rf"([^\W_][\w@$'’-]*)([{MARKS}])[ \t]*$")
 _BROKEN = re.compile(rf"([^\W_][\w@$'’-]*)([{MARKS}])[ \t]*<br\s*/?>[ \t]*([^\W_][\w@$'’]*)", re.I)
@@ -93,7 +95,7 @@ def page_furniture(lines: list[str], hints: list[str]) -> set[int]:
             n = "".join(DIGITS.get(c.lower(), c) for c in m[1])
             numbers[i] = int(n) if _has_digit(x) and n.isdigit() else None
         else:
-            for p in _TITLED:
+            for p in _TITLED if x[:1] in _READ_AS_DIGITS or x[-1:] in _READ_AS_DIGITS else ():
                 if (m := p.match(x)) and _has_digit(m["n"]) and any(c.isalpha() for c in m["t"]) and not _ENDED.search(m["t"]):
                     titled.add(i)
                     titles.append((i, _title(m["t"])))
@@ -186,9 +188,14 @@ def table_furniture(lines: list[str]) -> set[int]:
     return out
 
 
+def _divided(line: str) -> re.Match | None:
+    """The word that is divided at the end of a line, if one is."""
+    return _DIVIDED.search(line, max(0, line.rfind(" ", 0, len(line.rstrip(" \t"))))) if line.rstrip(" \t")[-1:] in _MARKS else None
+
+
 def words_of(line: str) -> list[str]:
     """The words and numbers of a line, lower case, without marks around them."""
-    return [w for w in (t.strip(_EDGE).lower() for t in _TOKEN.findall(line)) if w]
+    return [w for t in _TOKEN.findall(line.lower()) if (w := t if t.isalpha() else t.strip(_EDGE))]
 
 
 @functools.lru_cache(4)
@@ -234,7 +241,7 @@ def _analyse(field: str, text: str, hints: list[str], context: str | None = None
             if skip and (m := _FIRST.match(line)):
                 line = line[m.end() :]
             skip = ""
-            if m := _DIVIDED.search(line):
+            if m := _divided(line):
                 after = keep[k + 1] if k + 1 < len(keep) else None
                 rest = _FIRST.match(lines[after]) if after is not None else None
                 if rest or after is None:
@@ -276,7 +283,7 @@ def corrections(w: str, twice: bool = False) -> dict[str, int]:
     return out
 
 
-_PARSED = "record_id string, field string, text string, counted boolean, furniture array<int>, tokens array<struct<line:int,word:string>>, broken array<struct<line:int,rest_line:int,a:string,mark:string,b:string>>"
+_PARSED = "record_id string, field string, digest string, counted boolean, furniture array<int>, tokens array<struct<line:int,word:string>>, broken array<struct<line:int,rest_line:int,a:string,mark:string,b:string>>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,8 +301,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(at))
             broken.append([dict(zip(("line", "rest_line", "a", "mark", "b"), x)) for x in d])
         tokens = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(said, pa.string())], ["line", "word"]))
-        yield pa.RecordBatch.from_arrays([b.column("record_id"), b.column("field"), b.column("text"), pa.array(counted, pa.bool_()), pa.array(furniture, pa.list_(pa.int32())), tokens, pa.array(broken, brk)],
-                                         names=["record_id", "field", "text", "counted", "furniture", "tokens", "broken"])
+        yield pa.RecordBatch.from_arrays([b.column("record_id"), b.column("field"), b.column("digest"), pa.array(counted, pa.bool_()), pa.array(furniture, pa.list_(pa.int32())), tokens, pa.array(broken, brk)],
+                                         names=["record_id", "field", "digest", "counted", "furniture", "tokens", "broken"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,18 +323,19 @@ class Repair:
     """What is wrong in scanned records, as frames that share the corpus vocabulary.
 
     records: ``record_id, field, text``, ``hints`` (array of titles) and optionally ``context`` (a text that begins with
-    this one, whose furniture tells more). Without ``texts`` no texts are stored, and ``repaired`` is not to be had. Null and blank texts have nothing wrong; equal
-    rows count once. Field ``markdown`` is read as a table, others as running text.
+    this one, whose furniture tells more). Null and blank texts have nothing wrong; equal rows come out once. Field
+    ``markdown`` is read as a table, others as running text. Texts are told apart by their digests, so that words are
+    counted and joined without them; ``repaired`` alone moves each text, once. Without ``texts`` there are no digests,
+    and ``repaired`` is not to be had.
     """
 
     def __init__(self, records: DataFrame, texts: bool = True):
         keep = self.keep = Scratch(records.sparkSession, "scans")
         if "context" not in records.columns:
             records = records.withColumn("context", F.lit(None).cast("string"))
-        rows = records.where("trim(text) <> ''").select("record_id", "field", "text", "hints", "context")
+        self.rows = records.where("trim(text) <> ''").withColumn("digest", F.md5(F.col("text").cast("binary")) if texts else F.lit(None).cast("string"))
         # equal rows are told apart nowhere: results are distinct, and shares of counts stay the same
-        parsed = rows.mapInArrow(_parse, _PARSED)
-        self.parsed = keep.write(parsed if texts else parsed.drop("text"))
+        self.parsed = keep.write(self.rows.select("record_id", "field", "text", "digest", "hints", "context").mapInArrow(_parse, _PARSED))
         self.words = keep.write(self.parsed.where("counted").select(
             (F.col("field") != "markdown").cast("int").alias("running"),
             ((F.col("field") != "markdown") & (F.size("furniture") == 0) & (F.size("broken") == 0)).cast("int").alias("clean"),  # no sign of a scan
@@ -389,13 +397,16 @@ class Repair:
 
         Without furniture; divided words joined and misread ones as they were meant, in the case that they had.
         """
-        key = ["record_id", "field", "text"]
+        key = ["record_id", "field", "digest"]
         words = self.parsed.select(*key, F.explode("tokens.word").alias("word")).distinct().join(small(self.misread), "word")
-        words = words.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("word", "meant"))).alias("words"))
+        words = words.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("words"))
         broken = self.parsed.select(*key, F.explode("broken").alias("x")).select(*key, "x.a", "x.mark", "x.b").distinct().join(small(self.divided), ["a", "mark", "b"])
         broken = broken.groupBy(*key).agg(F.collect_list(F.struct("a", "mark", "b", "belongs", "meant", "wrong")).alias("joins"))
-        rows = self.parsed.select(*key, "furniture").dropDuplicates(key).join(words, key, "left").join(broken, key, "left")
-        return rows.select(*key, "furniture", "words", "joins").mapInArrow(_rewrite, "record_id string, field string, repaired string")
+        # furniture depends on hints and context too; of equal texts of a record the one with most counts
+        lines = self.parsed.groupBy(*key).agg(F.max_by("furniture", F.struct(F.size("furniture"), F.to_json("furniture"))).alias("furniture"))
+        found = self.keep.write(lines.join(words, key, "left").join(broken, key, "left"))
+        texts = self.rows.groupBy(*key).agg(F.first("text").alias("text"))
+        return texts.join(found, key).select("record_id", "field", "text", "furniture", "words", "joins").mapInArrow(_rewrite, "record_id string, field string, repaired string")
 
 
 def _as(word: str, like: str) -> str:
