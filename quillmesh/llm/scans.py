@@ -398,7 +398,7 @@ class Repair:
         Without furniture; divided words joined and misread ones as they were meant, in the case that they had.
         """
         key = ["record_id", "field", "digest"]
-        words = self.parsed.select(*key, F.explode("tokens.word").alias("word")).distinct().join(small(self.misread), "word")
+        words = self.parsed.select(*key, F.explode("tokens.word").alias("word")).join(small(self.misread), "word").distinct()
         words = words.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("words"))
         broken = self.parsed.select(*key, F.explode("broken").alias("x")).select(*key, "x.a", "x.mark", "x.b").distinct().join(small(self.divided), ["a", "mark", "b"])
         broken = broken.groupBy(*key).agg(F.collect_list(F.struct("a", "mark", "b", "belongs", "meant", "wrong")).alias("joins"))
