@@ -1,19 +1,25 @@
 """Variant spellings of names: values that name the same person or organisation, linked.
 
-Values are reduced to forms (words, initials). Forms that share an exact key of what must agree in two forms of one
-name are candidates: a word and the other part (equal, of the same formal name, abbreviated, or its initial), where
-one word may have lost a letter. Any pair that can be verified shares a key, however common its words are; pairs are
-verified word by word by Monge-Elkan similarity. Star clustering gathers the forms around the most frequent ones;
-forms of initials join the only cluster that they fit.
+Values are reduced to forms (words, initials). Long forms meet by MinHash banding over the padded q-grams of their
+words, with rows and bands from the collision curve at the least similarity that one error leaves. In short forms an
+error leaves too little for bands that keep people of one surname apart, and initials and abbreviations leave less;
+those meet by exact keys: a word and the other part (equal, of the same formal name, abbreviated, or its initial),
+where one word may have lost a letter. However common its words are, no pair is left out. Pairs are verified word by
+word by Monge-Elkan similarity. Star clustering gathers the forms around the most frequent ones; forms of initials
+join the only cluster that they fit.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +40,12 @@ pamela pam | patricia pat patty tricia trish | patrick pat paddy | peter pete |
 stephen steve | steven steve | susan sue susie suzy | theodore ted theo teddy | theresa terry tess | thomas tom tommy | timothy tim | ulrike uli rike ulli | vasanthi vasu | victor vic | victoria vicky tori vic vikki | vincent vince | walter walt wally | wanjiru shiru ciru | william will bill billy willy liam | yashoda yashu | zachary zach zack | zubaida zubi
 """
 
-#: Similarity at which two sets must meet in a band, and how surely, for ``tune``; names are not banded.
+#: Similarity at which two sets must meet in a band, and how surely, unless ``tune`` is told others.
 SIMILARITY, RECALL = 0.5, 0.998
+#: Letters of a q-gram, and q-grams from which a form is banded: one error then leaves a similarity of (n - 3) / (n + 3), 0.82 or more.
+Q, BANDED = 2, 30
+#: Hashes of a signature.
+HASHES = 512
 #: Monge-Elkan similarity from which two forms name the same.
 SAME = 0.85
 
@@ -48,7 +58,7 @@ def collision(s: float, rows: int, bands: int) -> float:
 def tune(s: float = SIMILARITY, recall: float = RECALL, most: int = 160) -> tuple[int, int]:
     """Rows and bands: the most rows, and so the fewest chance meetings, that reach the recall at s within ``most`` hashes."""
     best = (1, most)
-    for rows in range(1, 9):
+    for rows in range(1, 17):
         for bands in range(1, most // rows + 1):
             if collision(s, rows, bands) >= recall:
                 best = (rows, bands)
@@ -197,14 +207,61 @@ def _shortened(w: str) -> set[str]:
     return {f"-{w}", *(f"-{w[:i]}{w[i + 1:]}" for i in range(len(w)))} if len(w) >= 4 else set()
 
 
+def grams(words: list[str]) -> set[tuple[str, int]]:
+    """The q-grams of padded words, the second of equal ones apart from the first."""
+    count: Counter[str] = Counter()
+    out = set()
+    for w in words:
+        w = f"{' ' * (Q - 1)}{w}{' ' * (Q - 1)}"
+        for i in range(len(w) - Q + 1):
+            out.add((w[i : i + Q], count[w[i : i + Q]]))
+            count[w[i : i + Q]] += 1
+    return out
+
+
+_rng = random.Random(7)
+_MULTIPLY, _ADD = (np.array([_rng.getrandbits(64) | 1 for _ in range(HASHES)], np.uint64)[:, None] for _ in range(2))
+
+
+@functools.lru_cache(None)
+def _banding(n: int) -> tuple[int, int]:
+    """Rows and bands for sets of n q-grams of which one has an error that the other hasn't."""
+    return tune((n - Q - 1) / (n + Q + 1), RECALL, HASHES)
+
+
+def band_keys(of: set[tuple[str, int]]) -> set[str]:
+    """Keys of a set of q-grams; sets whose sizes differ by one at most are banded alike, as an error adds or drops one."""
+    import xxhash
+
+    h = np.array([xxhash.xxh64_intdigest(f"{g}{i}") for g, i in of], np.uint64)
+    signature = (h[None, :] * _MULTIPLY + _ADD).min(axis=1)
+    out = set()
+    for n in (len(of), len(of) + 1):
+        rows, bands = _banding(n)
+        out |= {f"b{n}.{i}:{xxhash.xxh64_hexdigest(signature[i * rows : (i + 1) * rows].tobytes())}" for i in range(bands)}
+    return out
+
+
+def _spellings(words: list[str]) -> list[list[str]]:
+    """The words with given names as one of their group, all and all but one, which may have the error."""
+    groups = [_GROUP.get(w, w) for w in words]
+    return [groups, *([*groups[:i], w, *groups[i + 1 :]] for i, w in enumerate(words) if w != groups[i])]
+
+
 def pair_keys(form: tuple[list[str], list[str], list[str]], codes: dict[int, set[str]], initials: dict[int, int]) -> set[tuple[str, int]]:
     """(key, side) of a form. Two forms that ``compare`` accepts share a key of side 0, or one of side 1 and one of side 2.
 
+    Surely so but for banded forms, which share one as surely as RECALL says.
+
     codes: the first letters of abbreviated words by the number of words of their forms; initials: the most initials
     that forms of so many words have.
     """
     parts = sorted([(w, False) for w in form[0]] + [(w, True) for w in form[1]], key=lambda p: -len(p[0]))
     k, ini, out, every = len(parts), form[2], set(), set().union(*codes.values())
+    sets = [grams(w) for w in _spellings(form[0])] if k >= 2 and not form[1] else []
+    for g in sets:
+        out |= {(x, 0) for x in band_keys(g)} if len(g) >= BANDED else set()
+    banded = bool(sets) and min(map(len, sets)) > BANDED  # one with an error has as many but one, and is banded as well
     letters = lambda w: {n[:1] for n in _FORMAL.get(w, {w}) | {w}}
     equal = lambda p: {f"={f}" for f in _FORMAL.get(p[0], {p[0]})}
     abbreviates = lambda p, mark: {mark + p[0][:2]} if p[1] else set()
@@ -223,10 +280,10 @@ def pair_keys(form: tuple[list[str], list[str], list[str]], codes: dict[int, set
         head = f"1{ini[0] if ini else ''}:"
         out |= {(head + x, 0) for x in equal(parts[0]) | _shortened(parts[0][0])}
         out |= {(head + x, 1) for x in abbreviates(parts[0], "x")} | {(head + x, 2) for x in abbreviated(parts[0], "x", every)}
-    elif k == 2:
+    elif k == 2 and not banded:
         p, q = parts
         out |= {("2:" + x, 0) for x in cross(equal(p), equal(q) | _shortened(q[0])) | cross(_shortened(p[0]), equal(q))}
-    elif k > 2:
+    elif k > 2 and not banded:
         # all words but one are equal or short forms
         groups = [_GROUP.get(w, w) for w, _ in parts]
         out |= {(f"{k}:" + " ".join(sorted(groups[:i] + groups[i + 1:])), 0) for i in range(k)}
@@ -308,17 +365,19 @@ def _stars(nodes: DataFrame, edges: DataFrame, keep: Scratch) -> DataFrame:
     """
     degree = edges.groupBy(F.col("a").alias("form")).agg(F.count("*").alias("degree"))
     left = keep.write(nodes.join(degree, "form", "left").select("form", F.struct("n", F.coalesce("degree", F.lit(0)).alias("degree"), "form").alias("weight")))
-    links, out = edges, None
+    weight = lambda side: left.select(F.col("form").alias(side), F.col("weight").alias(f"w{side}"))
+    links, out = keep.write(edges.join(weight("a"), "a").join(weight("b"), "b").select("a", "b", "similarity", "wa", "wb")), None
     while left.limit(1).count():
-        known = links.join(left.select(F.col("form").alias("a"), F.col("weight").alias("wa")), "a").join(left.select(F.col("form").alias("b"), F.col("weight").alias("wb")), "b")
-        links = keep.write(known.select("a", "b", "similarity", "edits", "wa", "wb"))
         beaten = links.where("wb > wa").select(F.col("a").alias("form")).distinct()
         centers = keep.write(left.join(beaten, "form", "left_anti").select("form"))
         joined = links.join(centers.select(F.col("form").alias("b")), "b").groupBy(F.col("a").alias("form")).agg(F.max_by("b", F.struct("similarity", "wb")).alias("center"))
         assigned = keep.write(centers.select("form", F.col("form").alias("center")).unionByName(joined))
         out = assigned if out is None else out.unionByName(assigned)
+        before = (left, links, centers)
         left = keep.write(left.join(assigned.select("form"), "form", "left_anti"))
-        links = links.select("a", "b", "similarity", "edits")
+        links = keep.write(links.join(left.select(F.col("form").alias("a")), "a", "left_semi").join(left.select(F.col("form").alias("b")), "b", "left_semi"))
+        for t in before:
+            keep.drop(t)
     return out if out is not None else nodes.select("form", F.col("form").alias("center")).limit(0)
 
 
@@ -338,7 +397,9 @@ def link_names(df: DataFrame, name: str = "author") -> DataFrame:
     lists = "array<string>"
     parsed = keep.write(values.mapInArrow(_forms, f"value string, n long, form string, words {lists}, short {lists}, initials {lists}"))
     forms = keep.write(parsed.groupBy("form").agg(F.sum("n").alias("n"), *(F.any_value(c).alias(c) for c in ("words", "short", "initials"))))
-    edges = keep.write(_candidates(forms, keep).repartition("a").mapInArrow(_verify, "a string, b string, similarity double, edits int"))
+    # pairs of all parts of the key space on all cores, however few bytes they are
+    spread = 2 * df.sparkSession.sparkContext.defaultParallelism
+    edges = keep.write(_candidates(forms, keep).repartition(spread, "a", "b").mapInArrow(_verify, "a string, b string, similarity double, edits int"))
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", "edits"))
     # a form of initials has one word, and no given name
     brief = forms.where((F.size("words") + F.size("short") <= 1) & (F.size("initials") > 0)).select("form")
