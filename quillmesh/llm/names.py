@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.session import Scratch
 
-# Forms of address and degrees; words without weight in names of organisations; given names with their short forms.
+# Fixed values, written by hand: forms of address and degrees; words without weight in names of organisations; given names with their short forms.
 TITLES = frozenset("dr prof professor mr mrs ms miss mx sir dame madam herr frau mme mlle m señor señora sr sra shri smt phd md msc bsc ma ba jr".split())
 LIGHT = frozenset("the for of and on de la le du des der die das für von und et y a an in at".split())
 SHORT_FORMS = """

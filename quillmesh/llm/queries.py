@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.encoding import decode, encode
 from quillmesh.llm.leakage import leaks
 from quillmesh.llm.names import link_names, name_pairs
-from quillmesh.llm.quality import text_statistics
+from quillmesh.llm.quality import fitted_profiles, text_statistics
 from quillmesh.llm.scans import Repair, scanned_records
 from quillmesh.llm.splitting import split_chunks
 from quillmesh.plans.registry import Registry
@@ -67,16 +67,21 @@ def p8_quotations(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def _statistics(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return text_statistics(docs, profiles=fitted_profiles(docs, table(spark, sf, "doc_labels")))
+
+
 @R.query("p9_found")
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents most of whose characters are of a list, of a table or junk."""
-    return text_statistics(table(spark, sf, "documents").select("doc_id", "text")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind").distinct()
+    return _statistics(spark, sf).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind").distinct()
 
 
 @R.query("p9_statistics")
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """The statistics of every document's text."""
-    return text_statistics(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    return _statistics(spark, sf).drop("text")
 
 
 @R.query("p6_found")

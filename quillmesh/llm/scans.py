@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.session import Scratch, small
 
-# What is read, and what may stand there, in letters.
+# Fixed values, written by hand: what is read, and what may stand there, in letters.
 LETTERS = {
     "c": ["e"], "@": ["a"], "f": ["t"], "5": ["s"], "$": ["s"], "j": ["i"], "0": ["o"], "ri": ["n"], "1": ["l", "i"], "cl": ["d"], "ii": ["u"], "rn": ["m"], "b": ["h", "ti", "6"], "9": ["g"], "vv": ["w"], "u": ["ll"],
     "|": ["l", "i"], "!": ["l", "i"], "8": ["b"], "6": ["b"], "4": ["a"], "7": ["t"], "2": ["z"], "q": ["g"], "nn": ["m"], "lc": ["k"], "h": ["b"], "t": ["f"], "e": ["c"], "i": ["l"], "l": ["i", "t"], "o": ["c"], "v": ["y"], "d": ["cl"], "m": ["rn"], "li": ["h"], "tt": ["u"],
