@@ -31,7 +31,7 @@ HITS = min(w - k - (PIECE - 1) * (k + 1) for w, k in WINDOWS)
 #: Words beyond a window that are looked at to tell a quotation from a sentence built alike.
 BEYOND = 8
 #: Test items whose index is in memory at once; more are taken in blocks, each with its own pass over the corpus.
-ITEMS_PER_BLOCK = 2_000
+ITEMS_PER_BLOCK = 20_000
 
 _words = re.compile("[^\\W_]+(?:[-‐‑'’][^\\W_]+)*").findall
 _inner = re.compile("[-‐‑'’]")
