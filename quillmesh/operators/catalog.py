@@ -26,15 +26,21 @@ class Scope:
     theme_group: str | None = None
     effective_from: str | None = None
     effective_to: str | None = None
+    #: A pattern of LIKE on the title, and values of which a document must have one.
+    title_like: str | None = None
+    entity_type: str | None = None
+    authors_any: Sequence[str] = ()
+    tags_any: Sequence[str] = ()
 
 
 @dataclasses.dataclass(frozen=True)
 class Catalog:
-    """The tables: documents (document_id, title, bundle, source_type, effective_start_date, indexed_at), authors, themes."""
+    """The tables: documents (document_id, title, bundle, source_type, effective_start_date, indexed_at), authors, themes, tags (document_id, tag)."""
 
     documents: DataFrame
     authors: DataFrame
     themes: DataFrame
+    tags: DataFrame | None = None
 
 
 def contains(column: Column, term: str) -> Column:
@@ -50,11 +56,13 @@ def author_key(authors: DataFrame) -> Column:
 def in_scope(catalog: Catalog, scope: Scope) -> DataFrame:
     """The documents of a scope, each once."""
     d = catalog.documents
-    for column, value in (("source_type", scope.source_type), ("bundle", scope.bundle)):
+    for column, value in (("source_type", scope.source_type), ("bundle", scope.bundle), ("entity_type", scope.entity_type)):
         if value is not None:
             d = d.where(F.col(column) == value)
     if scope.title_contains:
         d = d.where(contains(F.col("title"), scope.title_contains))
+    if scope.title_like is not None:
+        d = d.where(F.lower("title").like(scope.title_like.lower()))
     if scope.topic_terms:
         d = d.where(matched_terms(F.col("title"), scope.topic_terms) > 0)
     if scope.effective_from is not None:
@@ -63,6 +71,13 @@ def in_scope(catalog: Catalog, scope: Scope) -> DataFrame:
         d = d.where(F.col("effective_start_date") < F.lit(scope.effective_to).cast("date"))
     if scope.author is not None:
         d = d.join(catalog.authors.where(F.lower(author_key(catalog.authors)) == scope.author.lower()).select("document_id"), "document_id", "left_semi")
+    if scope.authors_any:
+        named = F.lower(author_key(catalog.authors)).isin(*(a.lower() for a in scope.authors_any))
+        d = d.join(catalog.authors.where(named).select("document_id"), "document_id", "left_semi")
+    if scope.tags_any:
+        if catalog.tags is None:
+            raise ValueError("this catalog has no tags")  # refused, never ignored
+        d = d.join(catalog.tags.where(F.lower("tag").isin(*(t.lower() for t in scope.tags_any))).select("document_id"), "document_id", "left_semi")
     if scope.theme is not None or scope.theme_group is not None:
         t = catalog.themes
         if scope.theme is not None:
@@ -86,6 +101,21 @@ def count_documents(catalog: Catalog, scope: Scope) -> DataFrame:
     return in_scope(catalog, scope).agg(F.count("*").alias("documents"))
 
 
+def widened_counts(catalog: Catalog, scope: Scope) -> DataFrame:
+    """``scope, documents``: how many a scope has, and how many without its period and without its type, in one result."""
+    scopes = {"asked": scope, "without_period": dataclasses.replace(scope, effective_from=None, effective_to=None), "without_type": dataclasses.replace(scope, source_type=None, bundle=None, entity_type=None)}
+    counts = [count_documents(catalog, s).select(F.lit(n).alias("scope"), "documents") for n, s in scopes.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def unique_titles(documents: DataFrame) -> DataFrame:
+    """``title, document_id, documents``: titles, trimmed and in lower case, with the document if only one has it. Blank and null titles are left out."""
+    # least and greatest tell one from several, so that no ids are gathered
+    t = documents.select(F.lower(F.trim("title")).alias("title"), "document_id").where("title <> ''")
+    one = F.when(F.min("document_id") == F.max("document_id"), F.min("document_id"))
+    return t.groupBy("title").agg(one.alias("document_id"), F.countDistinct("document_id").alias("documents"))
+
+
 def list_documents(catalog: Catalog, scope: Scope, limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of a scope: most topic terms first, then the newest, undated last, then by id. The limit is 1 to 100."""
     d = in_scope(catalog, scope).select("document_id", "title", "bundle", "effective_start_date", matched_terms(F.col("title"), scope.topic_terms).alias("matched"))
