@@ -49,3 +49,31 @@ def url_key(url: Column) -> Column:
 def content_words(text: Column) -> Column:
     """The different folded words of four letters or more."""
     return F.array_distinct(F.filter(F.split(fold(text), " "), lambda w: F.length(w) >= 4))
+
+
+# Short legal forms and what they are written out as, by hand.
+FORMS = {"ltd": "limited", "pvt": "private", "inc": "incorporated", "corp": "corporation", "co": "company", "govt": "government", "univ": "university", "inst": "institute", "dept": "department", "assn": "association", "ctr": "centre", "center": "centre"}
+# Words without weight in a name.
+MINOR = ("of", "for", "and", "the", "in", "on", "de", "la")
+
+
+def organisation(text: Column) -> Column:
+    """A name as an organisation's: lower case, & as and, short legal forms written out."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " ")), " "), lambda w: w != "")
+    full = F.create_map(*(F.lit(x) for pair in FORMS.items() for x in pair))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(full, w), w)), " ")
+
+
+def unjoined(text: Column) -> Column:
+    """The names of a value that joins them by commas without a blank after them."""
+    return F.filter(F.transform(F.split(text, r",(?=\S)"), F.trim), lambda x: x != "")
+
+
+def significant_initials(folded: Column) -> Column:
+    """The first letters of a folded name's words, without minor ones."""
+    return F.array_join(F.transform(F.filter(F.split(folded, " "), lambda w: (w != "") & ~w.isin(*MINOR)), lambda w: F.substring(w, 1, 1)), "")
+
+
+def acronym_fits(acronym: Column, initials: Column) -> Column:
+    """Whether one begins the other, or the acronym's letters stand among the initials in order. Both in lower case."""
+    return F.startswith(initials, acronym) | F.startswith(acronym, initials) | F.regexp_like(initials, F.array_join(F.split(acronym, ""), ".*"))
