@@ -161,3 +161,21 @@ def dates_in(text: Column) -> Column:
         return F.array_sort(F.array_distinct(F.array_compact(F.concat(*found))))
 
     return let(F.lower(F.coalesce(text, F.lit(""))), read)
+
+
+# How well a period fits the time asked about.
+FIT_MATCH, FIT_PARTIAL, FIT_UNKNOWN, FIT_MISS = 1.0, 0.75, 0.5, 0.25
+
+
+def fit_of_mode(mode: Column, start: Column, end: Column, open_ended: Column, today: Column, lo: Column, hi: Column) -> Column:
+    """How well a period (end: its last day) fits the time that a question of a mode is about, [lo, hi) where it names one.
+
+    What isn't known is neither favoured nor a miss. Open-ended periods last to the present.
+    """
+    last = F.when(~open_ended, end)
+    current = F.when(start.isNull(), FIT_UNKNOWN).when(start > today, FIT_MISS).when(last.isNull() | (last >= today), FIT_MATCH).otherwise(FIT_MISS)
+    past = F.when(start.isNull(), FIT_UNKNOWN).when(open_ended | last.isNull() | (last >= today), FIT_MISS).otherwise(FIT_MATCH)
+    until = F.coalesce(last, today)
+    contained = (lo.isNull() | (start >= lo)) & (hi.isNull() | (until < hi))
+    window = F.when(lo.isNull() & hi.isNull() | start.isNull(), FIT_UNKNOWN).when((start >= hi) | (until < lo), FIT_MISS).when(contained, FIT_MATCH).otherwise(FIT_PARTIAL)
+    return F.when(mode == "current", current).when(mode == "past", past).when(mode.isin("point_in_time", "date_range"), window).otherwise(FIT_UNKNOWN)

@@ -126,6 +126,32 @@ def rerank(df: DataFrame, top_n: int, tolerance: float = 0.03, ratio: float = 1.
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 
 
+# Steps of temporal fit and of authority, and the days by which a document is newer for questions about the present.
+FIT_STEP, AUTHORITY_STEP, NEWER_DAYS = 0.10, 0.10, 365.0
+
+
+def rerank_timed(df: DataFrame, top_n: int, ratio: float = 1.5, threshold: float = 0.0) -> DataFrame:
+    """Re-ranked candidates of questions that each ask about a time: query_id, id, five bands and rank.
+
+    df: query_id, id, score, date, authority, chars, fit (of the time asked about), mode and tolerance (of the question).
+    Candidates at or above the threshold are banded by relevance within the question's tolerance; inside each band by
+    fit; inside that, for questions of the present alone, by a year's difference in date; then by authority, then by
+    length within a ratio. They are sorted by all bands, then the newest, then the most relevant, then by id.
+    """
+    d = recency_scores(df.where(F.col("score") >= threshold).withColumn("score", F.round("score", 6)), ["query_id"], "date")
+    d = d.withColumn("substance", F.round(substance(F.col("chars")), 6)).withColumn("recency", F.round("recency", 6))
+    span = df.where(F.col("score") >= threshold).groupBy("query_id").agg(F.datediff(F.max("date"), F.min("date")).alias("span"))
+    # scores of date lie within 0 and 1, so that a step of 2 makes one band
+    step = F.when((F.col("mode") == "current") & (F.col("span") > NEWER_DAYS), F.round(NEWER_DAYS / F.col("span"), 9)).otherwise(2.0)
+    d = d.join(span, "query_id").withColumn("newer_step", step)
+    keys, bands = ["query_id", "tolerance", "newer_step"], []
+    for value, limit, name in (("score", F.col("tolerance"), "relevance_band"), ("fit", FIT_STEP, "temporal_band"), ("recency", F.col("newer_step"), "recency_band"), ("authority", AUTHORITY_STEP, "authority_band"), ("substance", float(np.log(max(ratio, 1.0))), "substance_band")):
+        d = greedy_bands(d, [*keys, *bands], value, limit, name)
+        bands.append(name)
+    w = Window.partitionBy("query_id").orderBy(*bands, F.desc("recency"), F.desc("score"), "id")
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n).select("query_id", "id", *bands, "rank")
+
+
 def admit(df: DataFrame, budget: int, limit: int, key: str = "query_id") -> DataFrame:
     """Greedy admission to a context: df has key, rank, id, parent, tokens; the rows admitted get ``position`` (from 1).
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import names as N
+from quillmesh.functions import dates as D
 from quillmesh.operators import ranking as K
 from quillmesh.operators import vector_index as V
 from quillmesh.plans.registry import Registry
@@ -92,6 +95,37 @@ def banded_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "relevance_band", "recency_band", "authority_band", "substance_band")
 
 
+_TIMED = """timed AS (SELECT *, CASE (query_id // 50) % 4 WHEN 0 THEN 'current' WHEN 1 THEN 'date_range' WHEN 2 THEN 'past' ELSE 'none' END AS mode, CASE WHEN query_id % 100 = 0 THEN 0.06 ELSE 0.03 END::DOUBLE AS tolerance, CASE WHEN id % 9 = 0 THEN NULL ELSE date END AS start, date + 200 AS finish, id % 5 = 0 AS open_ended FROM base),
+fitted AS (SELECT *, CASE mode WHEN 'current' THEN CASE WHEN start IS NULL THEN 0.5 WHEN start > DATE '2020-01-01' THEN 0.25 WHEN open_ended OR finish >= DATE '2020-01-01' THEN 1.0 ELSE 0.25 END WHEN 'past' THEN CASE WHEN start IS NULL THEN 0.5 WHEN open_ended OR finish >= DATE '2020-01-01' THEN 0.25 ELSE 1.0 END
+ WHEN 'date_range' THEN CASE WHEN start IS NULL THEN 0.5 WHEN start >= DATE '2020-01-01' OR CASE WHEN open_ended THEN DATE '2020-01-01' ELSE finish END < DATE '2018-01-01' THEN 0.25 WHEN start >= DATE '2018-01-01' AND CASE WHEN open_ended THEN DATE '2020-01-01' ELSE finish END < DATE '2020-01-01' THEN 1.0 ELSE 0.75 END ELSE 0.5 END::DOUBLE AS fit FROM timed),
+spans AS (SELECT query_id, min(start) AS lo, max(start) AS hi, date_diff('day', min(start), max(start)) AS span FROM fitted GROUP BY 1),
+r0 AS (SELECT f.query_id, f.id, round(f.score, 6) AS score, f.tolerance, f.fit, f.authority, round(ln(1 + f.chars), 6) AS substance, round(CASE WHEN f.start IS NULL OR s.span = 0 THEN 0.5 ELSE date_diff('day', s.lo, f.start) / s.span::DOUBLE END, 6) AS recency,
+ CASE WHEN f.mode = 'current' AND s.span > 365 THEN round(365.0::DOUBLE / s.span, 9) ELSE 2.0 END AS step FROM fitted f JOIN spans s USING (query_id))"""
+
+
+def _chain_sql() -> str:
+    """Five bands, each within those before it."""
+    columns, keys, out, source = "query_id, id, score, tolerance, fit, authority, substance, recency, step", "query_id", [], "r0"
+    for i, (value, limit, name) in enumerate((("score", "r.tolerance", "relevance_band"), ("fit", "0.1", "temporal_band"), ("recency", "r.step", "recency_band"), ("authority", "0.1", "authority_band"), ("substance", repr(math.log(1.5)), "substance_band")), 1):
+        out.append(_bands_sql(source, keys, value, limit, name, f"k{i}"))
+        columns, keys, source = f"{columns}, {name}", f"{keys}, {name}", f"k{i}x"
+        out.append(f"k{i}x AS MATERIALIZED (SELECT {columns} FROM k{i})")
+    return ", ".join(out)
+
+
+@R.query("timed_rerank", f"""WITH RECURSIVE {_CAND}, {_TIMED}, {_chain_sql()}, z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_band, temporal_band, recency_band, authority_band, substance_band, recency DESC, score DESC, id) AS rank FROM k5x)
+SELECT query_id, id, rank, relevance_band, temporal_band, recency_band, authority_band, substance_band FROM z WHERE rank <= 10""")
+def timed_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates re-ranked for questions about the present, a period, the past and no time."""
+    c = _candidates(spark, sf)
+    mode = F.element_at(F.array(*map(F.lit, ("current", "date_range", "past", "none"))), (F.floor(F.col("query_id") / 50) % 4 + 1).cast("int"))
+    c = c.select("*", mode.alias("mode"), F.when(F.col("query_id") % 100 == 0, 0.06).otherwise(0.03).alias("tolerance"), F.when(F.col("id") % 9 != 0, F.col("date")).alias("start"))
+    day = lambda x: F.lit(x).cast("date")
+    fit = D.fit_of_mode(F.col("mode"), F.col("start"), F.date_add("date", 200), F.col("id") % 5 == 0, day("2020-01-01"), day("2018-01-01"), day("2020-01-01"))
+    d = K.rerank_timed(c.withColumn("fit", fit).drop("date").withColumnRenamed("start", "date"), 10, threshold=-1.0)
+    return d.withColumn("rank", F.col("rank").cast("long"))
+
+
 @R.query("rrf_fusion", f"""WITH {_CAND}, legs AS (SELECT query_id, id, rank FROM cand UNION ALL
   SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY authority DESC, chars DESC, id) FROM base),
 f AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM legs GROUP BY 1, 2)
