@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +175,19 @@ def admit(df: DataFrame, budget: int, limit: int, key: str = "query_id") -> Data
     return g.select(key, F.posexplode("__out").alias("p", "x")).select(key, (F.col("p") + 1).alias("position"), "x.*")
 
 
+def merge_kinds(df: DataFrame, key: str, kind: str, reserved: Mapping[str, int], limit: int) -> DataFrame:
+    """Adds ``position``: kinds in the order given, each with its reserved places by rank, then what is left of each kind in the same order.
+
+    The first ``limit`` of each key come out: the length of a context, as asked for.
+    """
+    d = df.withColumn("__k", F.row_number().over(Window.partitionBy(key, kind).orderBy("rank")))
+    turn = F.lit(2 * len(reserved))
+    for i, (name, places) in enumerate(reserved.items()):
+        turn = F.when(F.col(kind) == name, F.when(F.col("__k") <= places, i).otherwise(len(reserved) + i)).otherwise(turn)
+    w = Window.partitionBy(key).orderBy(turn, "__k")
+    return d.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).drop("__k")
+
+
 def distinct_vectors(df: DataFrame, threshold: float, key: str = "query_id") -> DataFrame:
     """Rows of each key, by rank, whose vector is less like every kept one than the threshold; df: key, rank, id, vector."""
     kept = T.StructType([df.schema[key], T.StructField("rank", T.IntegerType()), df.schema["id"]])

@@ -26,7 +26,7 @@ def test_small_functions(spark):
     assert one(S.tables_of(F.lit("SELECT * FROM a JOIN b_1 ON x from A"))) == ["a", "b_1"]
     assert one(S.redacted(F.create_map(F.lit("api_key"), F.lit("x"), F.lit("q"), F.lit("long" * 9)), 5)) == {"api_key": "[hidden]", "q": "longl…"}
     assert one(S.sigmoid(F.lit(-800.0))) == 0 and one(S.sigmoid(F.lit(800.0))) == 1 and one(S.sigmoid(F.lit(0.0))) == 0.5
-    assert one(S.singular_tokens(F.lit("Rivers & river's glass dams"))) == ["and", "river", "glass", "dam"]
+    assert one(S.singular_tokens(F.lit("Rivers & river's glass dams"))) == ["river", "and", "glass", "dam"]
     assert one(S.projection_version(F.lit("2024-05-06 07:08:09").cast("timestamp"), F.lit("a"))) == "20240506T070809-ca978112"
 
 
