@@ -116,11 +116,15 @@ def unique_titles(documents: DataFrame) -> DataFrame:
     return t.groupBy("title").agg(one.alias("document_id"), F.countDistinct("document_id").alias("documents"))
 
 
-def list_documents(catalog: Catalog, scope: Scope, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page of a scope: most topic terms first, then the newest, undated last, then by id. The limit is 1 to 100."""
+#: Documents of a page, at most.
+PAGE = 100
+
+
+def list_documents(catalog: Catalog, scope: Scope, limit: int = 20, offset: int = 0, more: int = 0) -> DataFrame:
+    """A page of a scope: most topic terms first, then the newest, undated last, then by id. The limit is 1 to PAGE; ``more`` rows beyond it tell whether others follow."""
     d = in_scope(catalog, scope).select("document_id", "title", "bundle", "effective_start_date", matched_terms(F.col("title"), scope.topic_terms).alias("matched"))
     page = d.orderBy(F.desc("matched"), F.col("effective_start_date").desc_nulls_last(), "document_id")
-    return page.offset(max(0, offset)).limit(min(100, max(1, limit)))
+    return page.offset(max(0, offset)).limit(min(PAGE, max(1, limit)) + more)
 
 
 def _dimension(catalog: Catalog, dimension: str, scoped: DataFrame) -> DataFrame:

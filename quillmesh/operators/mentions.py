@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import let
+from quillmesh.session import Scratch, small
 
 #: Runs of up to so many words are built by zipping, longer ones by slices, lest the plan grows with the names.
 ZIPPED = 6
@@ -27,7 +31,7 @@ def spans(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     name has are not built. Null and blank names are left out.
     """
     n = names.where("name is not null").select("name", "kind", words(F.col("name")).alias("w")).withColumn("length", F.size("w"))
-    n = n.where(F.col("length") >= 1).select(F.array_join("w", " ").alias("run"), "length", "name", "kind").distinct()
+    n = Scratch(df.sparkSession, "names").write(n.where(F.col("length") >= 1).select(F.array_join("w", " ").alias("run"), "length", "name", "kind").distinct())
     sizes = [r[0] for r in n.select("length").distinct().collect()]  # as many as names have lengths
     if not sizes:
         return df.select(key, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("name"), F.lit("").alias("kind")).limit(0)
@@ -48,7 +52,8 @@ def spans(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
         return F.concat(*parts)
 
     d = df.where(F.col(text).isNotNull()).select(key, F.inline(let(words(F.col(text)), runs)))
-    return d.join(n, ["run", "length"]).select(key, "start", "length", "name", "kind")
+    # runs stay where they are if the names can be broadcast
+    return d.join(small(n), ["run", "length"]).select(key, "start", "length", "name", "kind")
 
 
 def outermost(found: DataFrame, key: str) -> DataFrame:
@@ -60,3 +65,26 @@ def outermost(found: DataFrame, key: str) -> DataFrame:
     covers = longer.select("__k", "__s", "__l", F.explode(F.sequence(F.col("__s"), F.col("__s") + F.col("__l") - 1)).alias("start"))
     inside = (found[key] == covers["__k"]) & (found["start"] == covers["start"]) & (covers["__l"] > found["length"]) & (found["start"] + found["length"] <= covers["__s"] + covers["__l"])
     return found.join(covers, inside, "left_anti")
+
+
+def disjoint(found: DataFrame, key: str) -> DataFrame:
+    """Spans of which no two of a text share a word: the longest first, then the first, then the least name. found: key, start, length, name, kind.
+
+    Spans are sorted within their text and read once; the places taken of one text are in memory at a time.
+    """
+    names = found.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, taken = None, set()
+        for b in batches:
+            kept = []
+            for i, (k, start, length) in enumerate(zip(b.column(key).to_pylist(), b.column("start").to_pylist(), b.column("length").to_pylist())):
+                if (k,) != at:
+                    at, taken = (k,), set()
+                places = range(start, start + length)
+                if taken.isdisjoint(places):
+                    taken.update(places)
+                    kept.append(i)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    return found.distinct().repartition(key).sortWithinPartitions(key, F.desc("length"), "start", "name", "kind").select(*names).mapInArrow(run, found.schema)

@@ -12,27 +12,34 @@ from pyspark.sql import types as T
 
 #: Query vectors that are multiplied with every batch of rows at once; more are taken in blocks, a pass over the rows each.
 QUERIES_PER_BLOCK = 4_096
-#: Candidates of one question that folds and admissions take; retrieval never asks for more.
+#: Candidates of one question that folds and admissions take; a rank beyond it is an error, never dropped.
 MOST_CANDIDATES = 1_000
 
 
-def vector_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", row_id: str = "vec_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
+def _bounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", F.when(F.col("rank") <= MOST_CANDIDATES, F.col("rank")).otherwise(F.raise_error(F.lit(f"more than {MOST_CANDIDATES} candidates of one question")).cast(df.schema["rank"].dataType)))
+
+
+def vector_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", row_id: str = "vec_id", vector: str = "embedding", least: float | None = None, scope: str | None = None) -> DataFrame:
     """The k rows most like each query vector by cosine: ``query_id, id, score, rank`` (from 1; ties by id).
 
     Exact, whatever the sizes: queries are read in blocks, and each task keeps k rows per query, so that tasks times
     queries times k rows are shuffled. Zero and null vectors score 0. ``least`` drops lower scores. Ids are longs.
+    With ``scope``, a column of both, a query meets rows of its own scope alone; rows are not shuffled by it, so that a
+    scope may hold any share of them.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("__v"))
+    bound = F.col(scope).cast("string") if scope else F.lit("")
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("__v"), bound.alias("__s"))
     blocks = max(1, -(-q.count() // QUERIES_PER_BLOCK))
     schema = "query_id long, id long, score double"
     out = None
     for b in range(blocks):
         block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
-        shared = spark.sparkContext.broadcast((block.column(0).to_pylist(), _unit(block.column(1).to_pylist())))
+        shared = spark.sparkContext.broadcast((block.column(0).to_pylist(), _unit(block.column(1).to_pylist()), np.array(block.column(2).to_pylist(), object)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
+            ids, matrix, scopes = shared.value
             best_score = np.full((len(ids), 0), -np.inf)
             best_id = np.zeros((len(ids), 0), np.int64)
             for batch in batches:
@@ -40,7 +47,10 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "qu
                 if not len(own) or not len(ids):
                     continue
                 v = _unit(batch.column("v").to_pylist(), matrix.shape[1])
-                score = np.concatenate([best_score, np.round(matrix @ v.T, 12)], 1)
+                near = np.round(matrix @ v.T, 12)
+                if scope:
+                    near[scopes[:, None] != np.array(batch.column("s").to_pylist(), object)[None, :]] = -np.inf
+                score = np.concatenate([best_score, near], 1)
                 known = np.concatenate([best_id, np.broadcast_to(own, (len(ids), len(own)))], 1)
                 if score.shape[1] > k:  # by id first, so that ties go to the least
                     order = np.lexsort((known, -score), axis=1)[:, :k]
@@ -49,8 +59,10 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "qu
             n = best_score.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best_id.ravel(), pa.int64()), pa.array(best_score.ravel(), pa.float64())], names=["query_id", "id", "score"])
 
-        found = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(run, schema)
+        found = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"), bound.alias("s")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
+    if scope:
+        out = out.where(F.col("score") > -2.0)
     if least is not None:
         out = out.where(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -171,7 +183,7 @@ def admit(df: DataFrame, budget: int, limit: int, key: str = "query_id") -> Data
             F.when(take, F.concat(a["parents"], F.array(x["parent"]))).otherwise(a["parents"]).alias("parents"),
             F.when(take, F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
 
-    g = df.where(F.col("rank") <= MOST_CANDIDATES).groupBy(key).agg(ordered.alias("__r")).select(key, F.aggregate("__r", start, step, lambda a: a["out"]).alias("__out"))
+    g = _bounded(df).groupBy(key).agg(ordered.alias("__r")).select(key, F.aggregate("__r", start, step, lambda a: a["out"]).alias("__out"))
     return g.select(key, F.posexplode("__out").alias("p", "x")).select(key, (F.col("p") + 1).alias("position"), "x.*")
 
 
@@ -201,7 +213,7 @@ def distinct_vectors(df: DataFrame, threshold: float, key: str = "query_id") ->
                 chosen.append(i)
         return pdf.iloc[chosen][[key, "rank", "id"]]
 
-    return df.where(F.col("rank") <= MOST_CANDIDATES).groupBy(key).applyInPandas(one, kept)
+    return _bounded(df).groupBy(key).applyInPandas(one, kept)
 
 
 def next_fit(df: DataFrame, key: str, order: Sequence[str], size: str, budget: int) -> DataFrame:
@@ -258,15 +270,20 @@ def measures(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
     Queries without a relevant row are null in all three, not zero.
     """
-    j = ranked.where(F.col("rank") <= k).join(relevant, ["query_id", "id"], "left")
-    got = j.groupBy("query_id").agg(
+    graded = ranked.where(F.col("rank") <= k).join(relevant, ["query_id", "id"], "left")
+    return measures_of_grades(graded, relevant.groupBy("query_id", "grade").agg(F.count("*").alias("n")), k)
+
+
+def measures_of_grades(graded: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """As ``measures``, where the relevant rows of a query are known by their numbers; graded: query_id, id, rank, grade (null for none); totals: query_id, grade, n."""
+    got = graded.where(F.col("rank") <= k).groupBy("query_id").agg(
         F.count("grade").alias("hits"), F.min(F.when(F.col("grade").isNotNull(), F.col("rank"))).alias("first"), F.sum(F.coalesce("grade", F.lit(0)) / F.log2(F.col("rank") + 1)).alias("dcg"))
     # the ideal needs the best k grades, so how often each grade comes is enough
     w = Window.partitionBy("query_id").orderBy(F.desc("grade"))
-    graded = relevant.groupBy("query_id", "grade").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(w))
+    places_of = totals.where("n > 0").withColumn("upto", F.sum("n").over(w))
     places = F.filter(F.sequence(F.col("upto") - F.col("n") + 1, F.least(F.col("upto"), F.lit(k).cast("long"))), lambda i: i <= k)
     gain = F.aggregate(F.when(F.col("upto") - F.col("n") < k, places), F.lit(0.0), lambda a, i: a + F.col("grade") / F.log2(i + 1))
-    ideal = graded.groupBy("query_id").agg(F.sum(F.coalesce(gain, F.lit(0.0))).alias("ideal"), F.sum("n").alias("n_relevant"))
+    ideal = places_of.groupBy("query_id").agg(F.sum(F.coalesce(gain, F.lit(0.0))).alias("ideal"), F.sum("n").alias("n_relevant"))
     return got.join(ideal, "query_id", "left").select(
         "query_id", F.round(F.col("hits") / F.col("n_relevant"), 6).alias("recall"),
         F.round(F.when(F.col("n_relevant").isNotNull(), F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("reciprocal_rank"), F.round(F.col("dcg") / F.col("ideal"), 6).alias("ndcg"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +51,9 @@ def list_records(catalog: C.Catalog, scope: C.Scope, limit: int = 20, offset: in
     """A page of a scope; one row more than asked for is fetched to know whether the page was cut."""
     if missed := misses(catalog, scope):
         return Answer("miss", None, scope, missed=missed)
-    limit = min(99, max(1, limit))
-    page = C.list_documents(catalog, scope, limit + 1, offset)
-    rows = page.collect()  # 100 at most
+    limit = min(C.PAGE, max(1, limit))
+    page = C.list_documents(catalog, scope, limit, offset, more=1)
+    rows = page.collect()  # a page and a row
     return Answer("ok", catalog.documents.sparkSession.createDataFrame(rows[:limit], page.schema), scope, cut=len(rows) > limit)
 
 
@@ -68,3 +69,31 @@ def aggregate_records(catalog: C.Catalog, scope: C.Scope, by: str, then_by: str
     d = C.distribution(catalog, scope, by, most + 1) if then_by is None else C.cross_distribution(catalog, scope, by, then_by, most + 1)
     rows = d.collect()  # a group more than is shown
     return Answer("ok", catalog.documents.sparkSession.createDataFrame(rows[:most], d.schema), scope, cut=len(rows) > most)
+
+
+def lookup_record(catalog: C.Catalog, title: str, limit: int = 20) -> tuple[Answer, str | None]:
+    """The documents whose title contains a text, and the id of the document if there is one alone."""
+    found = list_records(catalog, C.Scope(title_contains=title), limit)
+    ids = {r.document_id for r in found.rows.select("document_id").collect()} if found.rows is not None else set()  # a page at most
+    return found, next(iter(ids)) if len(ids) == 1 and not found.cut else None
+
+
+def applied(scope: C.Scope) -> dict[str, object]:
+    """The conditions that a scope sets."""
+    return {f.name: v for f in dataclasses.fields(scope) if (v := getattr(scope, f.name)) not in (None, (), [])}
+
+
+def project_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The fields asked for that a result has, in the order asked for; all without a request."""
+    return df.select(*[f for f in fields if f in df.columns]) if fields else df
+
+
+def is_guess(scope: C.Scope, rows: int) -> bool:
+    """Whether an empty result hangs on a title that was only guessed, so that another way should be tried."""
+    return rows == 0 and scope.title_contains is not None and not scope.topic_terms
+
+
+def themes_by_group(catalog: C.Catalog) -> DataFrame:
+    """``theme_group, theme``: the themes without a parent, each with its group or unclassified."""
+    v = C.best_variants(catalog.themes)
+    return v.where("parent is null").select(F.coalesce("theme_group", F.lit("unclassified")).alias("theme_group"), "theme")

@@ -195,6 +195,7 @@ def classify_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("acronym_glosses", r"""SELECT gloss, count(*) AS n FROM (SELECT unnest(regexp_extract_all(author, '\(([A-Z]{2,6})\)', 1)) AS gloss FROM documents_author WHERE author IS NOT NULL) GROUP BY 1 HAVING count(*) >= 2""")
 def acronym_glosses(spark: SparkSession, sf: str) -> DataFrame:
+    """Acronyms in brackets after names of authors; their pairs with expansions from all texts are ``expansion_pairs``."""
     return table(spark, sf, "documents_author").where("author is not null").select(F.explode(F.regexp_extract_all("author", F.lit(r"\(([A-Z]{2,6})\)"), F.lit(1))).alias("gloss")).groupBy("gloss").agg(F.count("*").alias("n")).where("n >= 2")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import passages as P
 from quillmesh.functions import phrases as Ph
-from quillmesh.functions.vector import cosine
 from quillmesh.operators import mentions as M
+from quillmesh.operators import ranking as K
 from quillmesh.plans.registry import Registry
 from quillmesh.session import table
 from quillmesh.streaming import feed
@@ -76,18 +76,24 @@ def gazetteer_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return M.outermost(found, "doc_id").select("doc_id", "start", "length", "name")
 
 
+@R.query("disjoint_mentions")
+def disjoint_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """As gazetteer_mentions, but no two share a word. Greedy over the spans of a text, which SQL can't express."""
+    names = table(spark, sf, "chunk").select(F.col("section_heading").alias("name"), F.lit("heading").alias("kind")).distinct()
+    return M.disjoint(M.spans(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", names), "doc_id").select("doc_id", "start", "length", "name")
+
+
 _CACHE_COS = "round(coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 0), 6)"
 
 
-@R.query("cache_lookup", f"""SELECT q.vec_id AS query_id, arg_max(c.vec_id, ({_CACHE_COS}, -c.vec_id)) AS cached_id, max({_CACHE_COS}) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id % 7 = 0 AND c.vec_id <> q.vec_id
+@R.query("cache_lookup", f"""SELECT q.vec_id AS query_id, arg_max(c.vec_id, ({_CACHE_COS}, -c.vec_id)) AS cached_id, max({_CACHE_COS}) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id <> q.vec_id
 WHERE q.vec_id % 50 = 0 GROUP BY 1 HAVING max({_CACHE_COS}) >= 0.2""")
 def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest cached question of the same scope, if near enough; the cache is every seventh vector, the scope its label."""
+    """The nearest cached question of the same scope, if near enough; the cache is all rows but the question's own, the scope their label."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("v"))
-    c = e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("cached_id"), "label", F.col("embedding").alias("w"))
-    j = q.join(c, "label").where("query_id <> cached_id").select("query_id", "cached_id", F.round(cosine(F.col("v"), F.col("w")), 6).alias("score"))
-    best = j.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("cached_id")).alias("m"))).alias("b"))
+    q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    near = K.vector_topk(q, e, 2, scope="label").where("query_id <> id").withColumn("score", F.round("score", 6))
+    best = near.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("id")).alias("m"))).alias("b"))
     return best.select("query_id", (-F.col("b.m")).alias("cached_id"), F.col("b.score").alias("score")).where("score >= 0.2")
 
 

@@ -17,7 +17,7 @@ R = Registry()
 _NAME = r"nullif(lower(trim(regexp_replace({}, '[\s\x{{00a0}}]+', ' ', 'g'))), '')"
 _TREE = f"""
 WITH RECURSIVE said AS (SELECT {_NAME.format('theme')} AS node, {_NAME.format('parent')} AS parent FROM documents_theme),
-nodes AS (SELECT node, max(parent) AS parent FROM (SELECT node, parent FROM said UNION ALL SELECT parent, NULL FROM said) WHERE node IS NOT NULL GROUP BY node),
+nodes AS (SELECT node, min(parent) AS parent FROM (SELECT node, parent FROM said UNION ALL SELECT parent, NULL FROM said) WHERE node IS NOT NULL GROUP BY node),
 tree AS (SELECT node, parent, node AS root, [node] AS path FROM nodes WHERE parent IS NULL
          UNION ALL SELECT n.node, n.parent, t.root, list_append(t.path, n.node) FROM nodes n JOIN tree t ON n.parent = t.node)
 """

@@ -241,9 +241,16 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @R.query("fuzzy_titles")
 def fuzzy_titles(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles like a few asked for, by the longer of two matching ratios, with the band that the score falls into."""
-    asked = ["annual water report", "pilot and embankment in ostrabrook", "regional reservoir and harbour"]
+    """Titles like those of documents whose id is divisible by 50, by the longer of two matching ratios, with the band that the score falls into.
+
+    Titles are compared where they share a word of four letters or more; without one they are unlike.
+    """
     ratio = F.pandas_udf(_ratio, "double")
-    d = table(spark, sf, "documents").where("title is not null").select(F.explode(F.array(*map(F.lit, asked))).alias("asked"), "title").distinct()
-    d = d.withColumn("score", ratio("asked", N.fold(F.col("title")))).where("score >= 0.6")
-    return d.withColumn("band", F.when(F.col("score") >= 0.9, "accept").otherwise("ambiguous"))
+    d = table(spark, sf, "documents").where("title is not null").select("doc_id", "title", N.fold(F.col("title")).alias("f"))
+    asked = d.where("doc_id % 50 = 0").select(F.col("f").alias("asked")).distinct()
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 4)))
+    met = d.select("title", "f").distinct().select("title", "f", words("f").alias("w")).join(asked.select("asked", words("asked").alias("w")), "w").select("asked", "title", "f").distinct()
+    # the ratio is bounded by the lengths
+    met = met.where(2 * F.least(F.length("asked"), F.length("f")) >= 0.6 * (F.length("asked") + F.length("f")))
+    s = met.select("asked", "title", ratio("asked", "f").alias("score")).where("score >= 0.6")
+    return s.withColumn("band", F.when(F.col("score") >= 0.9, "accept").otherwise("ambiguous"))

@@ -46,11 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` where it is set.
 
-    Only a session without that setting (tests, one machine) gets a folder of its own, removed at exit.
+    Only a session on one machine without that setting (tests) gets a folder of its own, removed at exit; on a cluster
+    no machine's own folder would do.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     own = os.environ.get("QUILLMESH_SCRATCH")
     if not own:
         own = os.environ["QUILLMESH_SCRATCH"] = tempfile.mkdtemp(prefix="quillmesh-")
