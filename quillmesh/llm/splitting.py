@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.session import small
+
 #: A token is a run of characters other than these.
 WS = r" \t\r\n"
 #: What may stand at the head of a list line, a table row, a quotation or a heading.
@@ -117,7 +119,7 @@ def split_chunks(chunks: DataFrame, presets: DataFrame) -> DataFrame:
     missing end is the other one; else page_number; else null.
     """
     default = lambda c: presets.where("preset = 'default'").agg(F.max(c)).scalar()
-    sized = chunks.join(F.broadcast(presets.select(F.col("preset").alias("bundle"), "child_max_tokens", "child_overlap_tokens")), "bundle", "left")
+    sized = chunks.join(small(presets.select(F.col("preset").alias("bundle"), "child_max_tokens", "child_overlap_tokens")), "bundle", "left")
     sized = sized.select(
         "chunk_id", "indexed_at", "text", "page_number", "page_range",
         F.coalesce("child_max_tokens", default("child_max_tokens")).alias("max_tokens"), F.coalesce("child_overlap_tokens", default("child_overlap_tokens")).alias("overlap"))
