@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from quillmesh.session import Scratch
 CHILDREN_PER_BUCKET = 50_000
 #: Tour positions of one block of the path scan.
 BLOCK = 20_000
+#: Tour events that are contracted together.
+PART = 1_000_000
 #: Rounds of peeling before residual chains are shortened by pointer doubling.
 PEEL_ROUNDS = 12
 
@@ -75,9 +78,43 @@ def _tour(forest: DataFrame) -> DataFrame:
             .select("e", "next", F.lit(1).cast("long").alias("count"), F.col("step").cast("long").alias("open"), F.col("e").alias("tail")))
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pointers of every event past those that stand in the same part of the table, by doubling over arrays; at most PART rows at a time."""
+
+    def ranked(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        e, count, open_, tail = (t.column(c).to_numpy() for c in ("e", "count", "open", "tail"))
+        following = t.column("next").fill_null(-1).to_numpy()
+        order = np.argsort(e)
+        e, following, count, open_, tail = e[order], following[order], count[order].copy(), open_[order].copy(), tail[order].copy()
+        last = len(e)
+        at = np.minimum(np.searchsorted(e, following), last - 1)
+        at = np.where(e[at] == following, at, last)  # the row of the next event, or none here
+        nexts = following.copy()
+        while (moving := np.flatnonzero(at < last)).size:
+            to = at[moving]
+            count[moving], open_[moving] = count[moving] + count[to], open_[moving] + open_[to]
+            tail[moving], nexts[moving], at[moving] = tail[to], nexts[to], at[to]
+        end = pa.array(nexts, pa.int64(), mask=nexts < 0)
+        return pa.RecordBatch.from_arrays([pa.array(e), end, pa.array(count), pa.array(open_), pa.array(tail)], names=["e", "next", "count", "open", "tail"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(h.num_rows for h in held) >= PART:
+            yield ranked(held)
+            held = []
+    if held:
+        yield ranked(held)
+
+
 def _rank(tour: DataFrame, keep: Scratch) -> DataFrame:
-    """Suffix counts and sums of every event by pointer doubling, with the last event of its list."""
-    cur = keep.write(tour)
+    """Suffix counts and sums of every event by pointer doubling, with the last event of its list.
+
+    Each part of the table is contracted first, so that what lists hold within a part needs no join.
+    """
+    cur = keep.write(keep.write(tour).mapInArrow(_contract, "e long, next long, count long, open long, tail long"))
 
     def double(a: DataFrame) -> DataFrame:
         b = a.select(F.col("e").alias("next"), F.col("next").alias("n2"), F.col("count").alias("c2"), F.col("open").alias("o2"), F.col("tail").alias("t2"))
