@@ -42,7 +42,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     rows, tree = _theme_tree(spark, sf)
     names = F.transform(F.split("theme_path", ">", -1), lambda x: F.coalesce(plain_name(x), F.lit("")))
     wrong = F.col("theme_path").isNotNull() & (~names.eqNullSafe(F.col("path")) | ~F.col("true_depth").eqNullSafe(F.col("depth")))
-    return (rows.drop("parent").distinct().join(small(tree.select("node", "rooted", "path", F.col("depth").alias("true_depth"))), "node")
+    # repeated rows go with the last distinct, after most rows were found to be right
+    return (rows.join(small(tree.select("node", "rooted", "path", F.col("depth").alias("true_depth"))), "node")
             .where(~F.col("rooted") | wrong).select("document_id", "theme").distinct())
 
 
