@@ -179,3 +179,9 @@ def fit_of_mode(mode: Column, start: Column, end: Column, open_ended: Column, to
     contained = (lo.isNull() | (start >= lo)) & (hi.isNull() | (until < hi))
     window = F.when(lo.isNull() & hi.isNull() | start.isNull(), FIT_UNKNOWN).when((start >= hi) | (until < lo), FIT_MISS).when(contained, FIT_MATCH).otherwise(FIT_PARTIAL)
     return F.when(mode == "current", current).when(mode == "past", past).when(mode.isin("point_in_time", "date_range"), window).otherwise(FIT_UNKNOWN)
+
+
+def known_period(start: Column, end: Column) -> tuple[Column, Column]:
+    """Start and end of a period, both null where the end lies before the start."""
+    turned = F.coalesce(end < start, F.lit(False))
+    return F.when(~turned, start), F.when(~turned, end)

@@ -112,3 +112,22 @@ def relation_asked(question: Column) -> Column:
     at = lambda p: F.length(F.regexp_extract(q, rf"(?s)^(.*?)(?:{p})", 1))
     places = F.array(*(F.when(q.rlike(p), F.struct(at(p).alias("at"), F.lit(n).alias("name"))) for n, p in cues.items()))
     return F.array_min(F.filter(places, lambda x: x.isNotNull()))["name"]
+
+
+# What shows that a question is on the text itself, on tags, and on where a document is, by hand.
+ON_TEXT = r"\b(?:mention(?:s|ed|ing)?|say(?:s)?|stat(?:es|ed)|quot(?:e|es|ed)|contain(?:s|ing)?|according to|describ(?:e|es|ed))\b"
+ON_TAGS = r"\b(?:tags?|tagged|keywords?|labell?ed)\b"
+FOR_DOCUMENT = r"\b(?:find|show|give|share|send|open|download|link to|where (?:is|can))\b.*\b(?:report|document|paper|pdf|brief|file|page|publication)s?\b"
+ABOUT_CONTENT = r"\b(?:summari[sz]e|explain|why|how|what does|findings?|conclu(?:de|sion)s?)\b"
+
+
+def constraints(question: Column) -> Column:
+    """Struct of on_text, on_tags and for_document: what a question is put to; a question about content is for no document."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    return F.struct(q.rlike(ON_TEXT).alias("on_text"), q.rlike(ON_TAGS).alias("on_tags"), (q.rlike(FOR_DOCUMENT) & ~q.rlike(ABOUT_CONTENT)).alias("for_document"))
+
+
+def is_question(text: Column) -> Column:
+    """Whether a text asks something: a question mark or a word that asks, and a content word."""
+    q = F.lower(F.coalesce(text, F.lit("")))
+    return (q.contains("?") | q.rlike(r"^\s*(?:who|what|when|where|why|how|which|is|are|was|were|do|does|did|can|list|show|tell)\b")) & (F.size(content_words(text)) > 0)

@@ -102,3 +102,12 @@ def found_dates(spark: SparkSession, sf: str) -> DataFrame:
     roles = {"current_start_date": "stated", "pdf_created": "created", "pdf_modified": "modified", "file_created": "created"}
     x = table(spark, sf, "pdf_evidence").select("document_id", F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.lit(r).alias("role"), D.iso_date(F.col(c)).alias("d")) for c, r in roles.items())))).where("d is not null")
     return x.select("document_id", "field", "role", F.col("d").cast("string").alias("day")).distinct()
+
+
+@R.query("subject_periods", """WITH l AS (SELECT l_orderkey, CAST(min(l_shipdate) AS DATE) AS first_ship FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 30 AS s, first_ship AS e FROM orders LEFT JOIN l ON l_orderkey = o_orderkey) SELECT o_orderkey, CAST(CASE WHEN coalesce(e < s, false) THEN NULL ELSE s END AS VARCHAR) AS start_day, CAST(CASE WHEN coalesce(e < s, false) THEN NULL ELSE e END AS VARCHAR) AS end_day FROM p""")
+def subject_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """The period of each order from a month after its date to its first shipment; one that is turned round is unknown."""
+    e = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").cast("date").alias("e"))
+    p = table(spark, sf, "orders").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 30).alias("s")).join(e, "o_orderkey", "left")
+    start, end = D.known_period(F.col("s"), F.col("e"))
+    return p.select("o_orderkey", start.cast("string").alias("start_day"), end.cast("string").alias("end_day"))

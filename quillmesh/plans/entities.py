@@ -132,3 +132,15 @@ def expansion_pairs(spark: SparkSession, sf: str) -> DataFrame:
     p = x.select(F.regexp_extract("x", r"\(([A-Z]{2,6})\)", 1).alias("acronym"), F.trim(F.regexp_replace("x", r"\([A-Z]{2,6}\)", "")).alias("expansion"))
     fits = N.acronym_fits(F.lower("acronym"), N.significant_initials(N.fold(F.col("expansion"))))
     return p.where(fits).groupBy("acronym", "expansion").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@R.query("project_promotions", f"""WITH {_NAMES}, x AS (SELECT DISTINCT {_FOLD.format('a.author')} AS name FROM documents_author a JOIN documents d USING (document_id) WHERE d.source_type = 'website')
+SELECT name, CASE WHEN NOT regexp_matches(name, '[a-z0-9]{{2,}}') THEN 'initials_only' WHEN len(string_split(name, ' ')) < 2 THEN 'single_word' WHEN name NOT IN (SELECT name FROM x WHERE name IS NOT NULL) THEN 'no_page' WHEN len(string_split(name, ' ')) = 2 AND k >= 5 THEN 'shared_surname'
+ WHEN last_year - first_year > 35 THEN 'career_span' WHEN divisions > 1 THEN 'several_divisions' END AS refusal FROM ev JOIN su ON su.surname = string_split(name, ' ')[-1]""")
+def project_promotions(spark: SparkSession, sf: str) -> DataFrame:
+    """As author_promotions, with a longer career, for names that a page and not only an attachment gives."""
+    e = _evidence(spark, sf)
+    surnames = e.groupBy(F.element_at(F.split("name", " "), -1).alias("surname")).agg(F.count("*").alias("n"))
+    pages = table(spark, sf, "documents").where("source_type = 'website'").select("document_id").distinct()
+    paged = table(spark, sf, "documents_author").where("author is not null").join(pages, "document_id", "left_semi").select(N.fold(F.col("author")).alias("name")).distinct().withColumn("paged", F.lit(True))
+    return E.promotion(e.join(paged, "name", "left"), surnames, 5, 35, {"no_page": F.col("paged").isNull()}).select("name", "refusal")

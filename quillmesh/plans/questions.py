@@ -10,6 +10,7 @@ from quillmesh.functions.names import fold
 from quillmesh.operators import catalog as C
 from quillmesh.plans.knowledge import _FOLD
 from quillmesh.plans.registry import Registry
+from quillmesh.plans.retrieval import _CAND, _candidates
 from quillmesh.session import table
 
 R = Registry()
@@ -140,3 +141,35 @@ def zero_widening(spark: SparkSession, sf: str) -> DataFrame:
 def lookup_chain(spark: SparkSession, sf: str) -> DataFrame:
     """For each title the document that it names, if it names one alone."""
     return C.unique_titles(table(spark, sf, "documents"))
+
+
+@R.query("asked_constraints", f"""WITH {_ASKED}, q AS (SELECT source, id, question, lower(coalesce(question, '')) AS q FROM asked) SELECT source, id, regexp_matches(q, {_lit(Q.ON_TEXT)}) AS on_text, regexp_matches(q, {_lit(Q.ON_TAGS)}) AS on_tags, regexp_matches(q, {_lit(Q.FOR_DOCUMENT)}) AND NOT regexp_matches(q, {_lit(Q.ABOUT_CONTENT)}) AS for_document,
+ (contains(q, '?') OR regexp_matches(q, '^\\s*(?:who|what|when|where|why|how|which|is|are|was|were|do|does|did|can|list|show|tell)\\b')) AND coalesce(len({_content_sql('question')}), 0) > 0 AS asks FROM q""")
+def asked_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each question is put to the text, to tags or for a document, and whether it is one."""
+    return _asked(spark, sf).select("source", "id", Q.constraints(F.col("question")).alias("c"), Q.is_question(F.col("question")).alias("asks")).select("source", "id", "c.*", "asks")
+
+
+@R.query("covered_topics", f"""WITH q AS (SELECT item_id, list_distinct({_content_sql('question')}) AS a FROM eval_items WHERE question IS NOT NULL), t AS (SELECT DISTINCT theme, list_distinct(list_filter(string_split({_FOLD.format('theme')}, ' '), lambda x: length(x) >= 4)) AS w FROM documents_theme WHERE theme IS NOT NULL)
+SELECT item_id, theme, len(list_intersect(w, a)) = len(w) AS covered, len(list_intersect(w, a)) = len(a) AS stands_for FROM q JOIN t ON len(list_intersect(w, a)) > 0""")
+def covered_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Themes that share a word with a question: whether all words of the theme are asked for, and whether the theme carries all words asked."""
+    q = table(spark, sf, "eval_items").where("question is not null").select("item_id", Q.content_words(F.col("question")).alias("a"))
+    t = table(spark, sf, "documents_theme").where("theme is not null").select("theme", F.array_distinct(F.filter(F.split(fold(F.col("theme")), " "), lambda x: F.length(x) >= 4)).alias("w")).distinct()
+    met = q.select("item_id", F.size("a").alias("n"), F.explode("a").alias("word")).join(t.select("theme", F.size("w").alias("m"), F.explode("w").alias("word")), "word")
+    g = met.groupBy("item_id", "theme", "n", "m").agg(F.count("*").alias("k"))
+    return g.select("item_id", "theme", (F.col("k") == F.col("m")).alias("covered"), (F.col("k") == F.col("n")).alias("stands_for"))
+
+
+@R.query("narrow_margins", f"WITH {_CAND} SELECT query_id, CAST(max(score) FILTER (rank = 2) - max(score) FILTER (rank = 3) AS DOUBLE) < 0.02 AS ambiguous FROM cand GROUP BY 1")
+def narrow_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the best answer to each question, after the question's own row, leads the next by too little to be taken for it."""
+    at = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
+    return _candidates(spark, sf).groupBy("query_id").agg((at(2) - at(3) < 0.02).alias("ambiguous"))
+
+
+@R.query("stale_runs", "WITH r AS (SELECT user_id, max(ts) AS last FROM events GROUP BY 1) SELECT user_id, coalesce(last < TIMESTAMP '2024-01-30' - INTERVAL 12 HOUR, false) AS stale FROM r")
+def stale_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the last run is older than half a day; one of unknown age is not stale."""
+    r = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    return r.select("user_id", F.coalesce(F.col("last") < F.expr("timestamp_ntz'2024-01-30' - INTERVAL 12 HOUR"), F.lit(False)).alias("stale"))
